@@ -12,11 +12,13 @@ from parley.functions.text import clean_unicode
 MODALITIES = ["text", "image", "voice", "video", "sticker", "link_or_file", "location", "contact", "system"]
 SPEAKERS = ["ME", "OTHER"]
 REQUIRED = ["msg_uid", "ts", "speaker", "type", "modality", "text_raw"]
-CANONICAL = T.StructType.fromDDL(
+_COLUMNS = (
     "msg_uid string, ts bigint, speaker string, type int, modality string, text_raw string, seq_in_html int, MsgSvrID string, token string, time_local string, sub_type int, "
     "media_path string, voice_length int, voice_to_text string, link_url string, link_title string, miniprogram_appid string, quote_svrid string, quote_type int, quote_text string, "
     "file_name string, file_size string, location_x double, location_y double, location_label string, contact_nickname string, contact_username string"
 )
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType()}
+CANONICAL = T.StructType([T.StructField(c.split()[0], _TYPES[c.split()[1]]) for c in _COLUMNS.split(", ")])
 DEFAULTS = {"seq_in_html": -1, "MsgSvrID": "", "token": "", "time_local": "", "sub_type": 0}
 #: Columns kept for training, by modality, beyond the core ones.
 TRAINING_CORE = ["msg_uid", "speaker", "time_local", "modality"]

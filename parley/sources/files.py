@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions.times import CHAT_FORMATS, parse
 from parley.operators.messages import apply_mapping, map_code
@@ -104,7 +105,7 @@ def balanced(text: str, start: int) -> str | None:
     return None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_messages(html: pd.Series) -> pd.Series:
     """JSON objects of the array `chatMessages = [...]` of an HTML page."""
 
