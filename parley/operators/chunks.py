@@ -92,10 +92,11 @@ def stratified_split(df: DataFrame, key: str, stratum: str, train: float = 0.8,
     return df.withColumn("split", split)
 
 
-def arm(key: Column, share: float) -> Column:
-    """prompt or none: the first 60 bits of the SHA-256 of the key below `share` of their range."""
-    draw = F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("long") / float(1 << 60)
-    return F.when(draw < share, "prompt").otherwise("none")
+def arm(seed: str, run: str, session: Column, turn: Column, share: float) -> Column:
+    """prompt or no_prompt: the first 64 bits of the SHA-256 of seed|run|session|turn below `share` of their range."""
+    key = F.concat_ws("|", F.lit(seed), F.lit(run), session.cast("string"), turn.cast("string"))
+    draw = F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(1 << 64)
+    return F.when(draw < share, "prompt").otherwise("no_prompt")
 
 
 def quality(answer: str, thinking: str, sections: list[str]) -> Column:

@@ -179,10 +179,10 @@ def stratified_split(spark, sf_dir):
     return chunks.stratified_split(table(spark, sf_dir, "labels"), "doc_id", "quality").groupBy("quality", "split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN ('0x' || substr(sha256('run1|' || doc_id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE < 0.5 THEN 'prompt' ELSE 'none' END AS arm FROM documents")
+@query("SELECT conv_id, turn, CASE WHEN ('0x' || substr(sha256('7|run1|' || conv_id || '|' || turn), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < 0.5 THEN 'prompt' ELSE 'no_prompt' END AS arm FROM conversations")
 def deterministic_arm(spark, sf_dir):
     """Arm by hash."""
-    return table(spark, sf_dir, "documents").select("doc_id", chunks.arm(F.concat(F.lit("run1|"), F.col("doc_id")), 0.5).alias("arm"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chunks.arm("7", "run1", F.col("conv_id"), F.col("turn"), 0.5).alias("arm"))
 
 
 @query("""SELECT user_id AS conv_id, count(*) FILTER (event_type = 'click')::BIGINT AS sticker, count(*) FILTER (event_type = 'view')::BIGINT AS image, count(*) FILTER (event_type = 'purchase')::BIGINT AS voice, count(*)::BIGINT AS total_messages,
