@@ -31,6 +31,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, float]]):
         rows: dict[int, int] = {}
+        known: list[bytes] = []
         self.byte = np.full(256, -1)
         rank = np.array([-s for _, s in pieces], dtype=float)
         self.n, self.longest = len(pieces), 1
@@ -40,13 +41,17 @@ class Vocabulary:
                 self.byte[int(piece[3:5], 16)] = k
             elif (score > -1e8 or raw == MARK) and not (piece.startswith("<") and score == 0) and MARK not in raw[1:]:
                 rows[T.hash_bytes(raw)] = k
+                known.append(raw)
                 self.longest = max(self.longest, len(raw))
         if (self.byte < 0).any():
             raise ValueError("the vocabulary needs a piece for each byte")
         order = sorted(rows)
         self.keys, self.ids = np.array(order, dtype=np.uint64), np.array([rows[h] for h in order])
-        self.maybe = np.zeros(1 << _CELLS, dtype=bool)
-        self.maybe[(self.keys >> T.U(64 - _CELLS)).astype(np.int64)] = True
+        # cells of hashes: 2 where a piece ends, 1 where a longer piece goes on
+        self.maybe = np.zeros(1 << _CELLS, dtype=np.uint8)
+        self.maybe[(self.keys >> T.U(64 - _CELLS)).astype(np.int64)] = 2
+        longer = {raw[:n] for raw in known for n in range(1, len(raw))}
+        self.maybe[[T.hash_bytes(p) >> (64 - _CELLS) for p in longer]] |= 1
         # the file's scores are ranks of a merge order: weights fall with the rank
         usable = np.zeros(self.n, dtype=bool)
         usable[self.ids] = usable[self.byte] = True
@@ -62,27 +67,31 @@ class Vocabulary:
         return Vocabulary([(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())])
 
     def edges(self, words: np.ndarray):
-        """Lattice edges of equally long words (a byte matrix with the marker): lists by end of (start, rows, pieces)."""
+        """Lattice edges of equally long words (a byte matrix with the marker): lists by end of (start, rows, pieces).
+
+        From each start only the words go on whose bytes so far begin some piece.
+        """
         m, length = words.shape
         up, down = T._power("up", T._BASE, length), T._power("down", T._INVERSE, length + 1)
-        sums = np.zeros((m, length + 1), dtype=np.uint64)
-        np.cumsum(T._RANDOM[words] * up, axis=1, out=sums[:, 1:])
-        every = np.arange(m)
-        skip = len(MARK)
+        sums = np.zeros((length + 1, m), dtype=np.uint64)
+        np.cumsum(T._RANDOM[words.T] * up[:, None], axis=0, out=sums[1:])
+        every, skip = np.arange(m), len(MARK)
         by_end: list[list] = [[] for _ in range(length + 1)]
-        for end in range(1, length + 1):
-            if end > skip:
-                by_end[end].append((end - 1, every, self.byte[words[:, end - 1]]))
-            for start in range(max(0, end - self.longest), end):
-                if 0 < start < skip or end < skip:
-                    continue
-                key = T.mix((sums[:, end] - sums[:, start]) * down[start] + T.U((end - start) * 0xD6E8FEB86659FD93 & (2**64 - 1)))
-                rows = np.flatnonzero(self.maybe[(key >> T.U(64 - _CELLS)).astype(np.int64)])
-                if len(rows):
-                    at = np.minimum(np.searchsorted(self.keys, key[rows]), len(self.keys) - 1)
-                    hit = self.keys[at] == key[rows]
-                    if hit.any():
-                        by_end[end].append((start, rows[hit], self.ids[at[hit]]))
+        for start in (0, *range(skip, length)):
+            if start:
+                by_end[start + 1].append((start, every, self.byte[words[:, start]]))
+            rows = every
+            for end in range(start + 1, min(length, start + self.longest) + 1):
+                key = T.mix((sums[end][rows] - sums[start][rows]) * down[start] + T.U((end - start) * 0xD6E8FEB86659FD93 & (2**64 - 1)))
+                cell = self.maybe[(key >> T.U(64 - _CELLS)).astype(np.int64)]
+                whole = np.flatnonzero(cell & 2)
+                if len(whole):
+                    at = np.minimum(np.searchsorted(self.keys, key[whole]), len(self.keys) - 1)
+                    hit = self.keys[at] == key[whole]
+                    by_end[end].append((start, rows[whole[hit]], self.ids[at[hit]]))
+                rows = rows[(cell & 1).astype(bool)]
+                if not len(rows):
+                    break
         return by_end
 
     def forward(self, words: np.ndarray, log_p: np.ndarray, edges=None) -> np.ndarray:
@@ -125,16 +134,35 @@ def held_out(fold: int, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
+#: Bytes of text whose word types are counted together before they are sent.
+_COUNTED = 1 << 24
+
+
 def _count_task(batches):
-    """Word types of about 16 MB of text at a time: hash, bytes, count in training texts."""
+    """Word types of about _COUNTED bytes of text at a time: hash, bytes, count in training texts."""
+
+    def types(held):
+        hashes = np.concatenate([h for h, *_ in held])
+        found, where, number = np.unique(hashes, return_index=True, return_inverse=True)
+        counts = np.bincount(number, np.concatenate([t for _, t, *_ in held]), minlength=len(found)).astype(np.int64)
+        first = np.cumsum([0] + [len(h) for h, *_ in held])
+        part = np.searchsorted(first, where, "right") - 1
+        words = [held[p][4][held[p][2][i] : held[p][3][i]].tobytes() for p, i in zip(part, where - first[part])]
+        return pa.RecordBatch.from_arrays([T.longs(found), pa.array(words, pa.binary()), pa.array(counts)], names=["h", "word", "c"])
+
+    held, size = [], 0
     for batch in batches:
         train = ~np.array(batch.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
-        for first, last, data, offsets in T.texts(batch.column("text"), 1 << 24):
+        for first, last, data, offsets in T.texts(batch.column("text")):
             hashes, at, starts, ends, low = T.word_hashes(data, offsets)
-            types, where, number = np.unique(hashes, return_index=True, return_inverse=True)
-            counts = np.bincount(number, np.repeat(train[first:last], np.diff(at)), minlength=len(types)).astype(np.int64)
-            words = pa.array([low[s:e].tobytes() for s, e in zip(starts[where], ends[where])], pa.binary())
-            yield pa.RecordBatch.from_arrays([T.longs(types), words, pa.array(counts)], names=["h", "word", "c"])
+            if len(hashes):
+                held.append((hashes, np.repeat(train[first:last], np.diff(at)), starts.astype(np.int32), ends.astype(np.int32), low))
+                size += len(data)
+            if size >= _COUNTED:
+                yield types(held)
+                held, size = [], 0
+    if held:
+        yield types(held)
 
 
 def _expect_task(vocabulary, log_p):
@@ -212,7 +240,7 @@ def _score_task(heavy, total: int, types: int, ends: int, end_lp: float):
     return run
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fold: int = 1, prior: float = 100.0, rounds: int = 2) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fold: int = 1, prior: float = 100.0, rounds: int = 1) -> DataFrame:
     """One row per row of `docs` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words `[^\\x20\\x09-\\x0D]+` in ASCII lower case and one end. Counts come from the rows whose
