@@ -103,7 +103,7 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def merge_lists(a: str, b: str, most: int) -> Column:
     """Distinct trimmed strings of two arrays in order, blank ones left out, at most `most`."""
-    both = F.transform(F.concat(F.coalesce(F.col(a), F.array().cast("array<string>")), F.coalesce(F.col(b), F.array().cast("array<string>"))), F.trim)
+    both = F.transform(F.concat(F.coalesce(F.col(a), F.array().cast("array<string>")), F.coalesce(F.col(b), F.array().cast("array<string>"))), lambda s: F.trim(s))
     return F.slice(F.array_distinct(F.filter(both, lambda x: x != "")), 1, most)
 
 

@@ -76,7 +76,7 @@ def condense_analysis(analysis: Column | str, target: int = 50, clauses: int = 3
     t = F.coalesce(col(analysis), F.lit(""))
     for filler in FILLERS:
         t = F.regexp_replace(t, filler, "")
-    parts = F.filter(F.transform(F.split(t, "[。，]"), F.trim), lambda s: (F.length(s) >= 5) & contains_any(s, FEELINGS_KEPT))
+    parts = F.filter(F.transform(F.split(t, "[。，]"), lambda s: F.trim(s)), lambda s: (F.length(s) >= 5) & contains_any(s, FEELINGS_KEPT))
     out = F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, clauses), "，")).otherwise(F.left(t, F.lit(target)))
     return F.when(F.length(out) > target, F.concat(F.left(out, F.lit(target - 3)), F.lit("..."))).otherwise(out)
 
