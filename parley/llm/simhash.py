@@ -77,8 +77,8 @@ def near_classes(prints: DataFrame, radius: int, scratch: Scratch, bits: int = B
     """
     prints = prints.where("doc_id is not null").select("doc_id", "sig").distinct()
     classes = scratch.write(prints.groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
-    members = classes.select("id", F.explode(F.array_distinct(block_keys("sig", bits, radius, blocks))).alias("region"))
-    labels = link(members, classes.dropDuplicates(["id"]), lambda pairs: pairs, hamming, bits // 8, radius, scratch)
+    members = classes.dropDuplicates(["id"]).select("id", "sig", F.explode(F.array_distinct(block_keys("sig", bits, radius, blocks))).alias("region"))
+    labels = link(members, None, lambda pairs: pairs, hamming, bits // 8, radius, scratch)
     named = classes.join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("near_id"))
     return prints.join(named, "sig").groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
 
@@ -134,7 +134,7 @@ def edited_neighbours(spark: SparkSession, docs: DataFrame, radius: int = 7) ->
     # ranges: null ids in the first; cast to double keeps the order, equal doubles stay together
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(at)), float("inf")]
+    splits = [-float("inf"), *sorted(set(at) or {0.0}), float("inf")]
     place = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     dealt = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(place).withColumn("bucket", F.col("bucket").cast("int"))
     # the first row of each range: as many rows as ranges; -inf stands for null ids

@@ -119,6 +119,14 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U(k))
 
 
+def run_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run words[first:end], by the same prefix sums as for bytes."""
+    n = len(words)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(words * _power("up", _BASE, n), out=sums[1:])
+    return mix((sums[end] - sums[first]) * _power("down", _INVERSE, n + 1)[first] + (end - first).astype(np.uint64))
+
+
 def binary(rows: np.ndarray) -> pa.Array:
     """A uint8 matrix as a binary column, one value per row."""
     n, width = rows.shape

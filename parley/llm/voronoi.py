@@ -55,38 +55,57 @@ def _whole(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.nda
     yield rows, np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
 
 
-def _cells(sig: np.ndarray, lower: Lower, radius: float) -> tuple[list[tuple[int, np.ndarray]], bool]:
-    """Cells (pivot, members without it) of one region, and whether some boundary id is near another cell's member."""
-    rest, out, crossing = np.arange(len(sig)), [], False
-    while len(rest) > 1:
-        pivot, rest = rest[0], rest[1:]
-        d = lower(sig[rest], sig[pivot : pivot + 1])
-        near, window = d <= radius, (d > radius) & (d <= 2 * radius)
-        if near.any():
-            out.append((pivot, rest[near]))
-            if not crossing and window.any():
-                inner = rest[near & (d >= d[window].min() - radius)]
-                crossing = any((lower(sig[inner], sig[y : y + 1]) <= radius).any() for y in rest[window])
-        rest = rest[~near]
-    return out, crossing
+def _crossing(near: np.ndarray, window: np.ndarray, d_near: np.ndarray, d_window: np.ndarray, group: np.ndarray, sig: np.ndarray, lower: Lower, radius: float) -> np.ndarray:
+    """Groups in which a boundary row is near a member of the cell; of a cell only members far enough out are compared."""
+    shared = np.intersect1d(group[near], group[window])
+    found = []
+    if len(shared):
+        closest = np.full(int(group.max()) + 1, np.inf)
+        np.minimum.at(closest, group[window], d_window)
+        inner = near[d_near >= closest[group[near]] - radius]
+        starts, stops = np.searchsorted(group[inner], group[window]), np.searchsorted(group[inner], group[window], "right")
+        counts = stops - starts
+        lo = 0
+        while lo < len(window):
+            hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(counts[lo:]), 1 << 18, "right")))
+            n = counts[lo:hi]
+            if n.sum():
+                y = np.repeat(window[lo:hi], n)
+                x = inner[np.repeat(starts[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                found.append(group[y[lower(sig[x], sig[y]) <= radius]])
+            lo = hi
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _stars(at: np.ndarray, sig: np.ndarray, lower: Lower, radius: float):
+    """(member, pivot) rows of the cells of all groups at once, and which groups have a boundary row near another cell."""
+    group = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    crossing = np.zeros(len(at) - 1, dtype=bool)
+    alive, members, pivots = np.flatnonzero(np.repeat(np.diff(at) > 1, np.diff(at))), [], []
+    while len(alive):
+        g = group[alive]
+        new = np.ones(len(alive), dtype=bool)
+        new[1:] = g[1:] != g[:-1]
+        pivot = alive[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        rest, pivot = alive[~new], pivot[~new]
+        d = lower(sig[rest], sig[pivot])
+        near = d <= radius
+        window = ~near & (d <= 2 * radius)
+        members.append(rest[near])
+        pivots.append(pivot[near])
+        if window.any() and near.any():
+            crossing[_crossing(rest[near], rest[window], d[near], d[window], group, sig, lower, radius)] = True
+        alive = rest[~near]
+    return np.concatenate(members) if members else alive, np.concatenate(pivots) if pivots else alive, crossing, group
 
 
 def _star_task(lower: Lower, width: int, radius: float):
     def run(batches):
         for rows, at in _groups(batches):
             region, ids, sig = rows.column(0).to_numpy(), rows.column(1).to_numpy(), T.matrix(rows.column(2), width)
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            hit = two[lower(sig[two], sig[two + 1]) <= radius] if len(two) else two
-            parts = [(region[hit], ids[hit + 1], ids[hit], np.zeros(len(hit), bool))]
-            for k in np.flatnonzero(size > 2):
-                lo, hi = at[k], at[k + 1]
-                cells, crossing = _cells(sig[lo:hi], lower, radius)
-                for pivot, members in cells:
-                    parts.append((np.full(len(members), region[lo]), ids[lo + members], np.full(len(members), ids[lo + pivot]), np.full(len(members), crossing)))
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "a", "b", "crossing"])
+            member, pivot, crossing, group = _stars(at, sig, lower, radius)
+            if len(member):
+                yield pa.RecordBatch.from_arrays([pa.array(region[member]), pa.array(ids[member]), pa.array(ids[pivot]), pa.array(crossing[group[member]])], names=["region", "a", "b", "crossing"])
 
     return run
 
@@ -124,31 +143,56 @@ def _across_task(lower: Lower, width: int, radius: float, narrow: bool):
     return run
 
 
-def _split(members: DataFrame) -> DataFrame:
-    """Regions of two or more ids; larger ones than BLOCK as pairs of blocks."""
-    sizes = members.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+#: One id in so many tells which regions are larger than a block.
+SAMPLE = 64
+
+
+def _paired(members: DataFrame, blocks, *others: str) -> DataFrame:
+    """Members of regions dealt as pairs of blocks: an id goes to every pair that its own block is in."""
     own = F.pmod(F.xxhash64("id"), blocks)
-    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("region", F.least(own, j.cast("long")), F.greatest(own, j.cast("long"))))
-    return members.join(sizes, "region").select(F.explode(F.when(F.col("n") <= BLOCK, F.array("region")).otherwise(paired)).alias("region"), "id").distinct()
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("region", F.least(own, j), F.greatest(own, j)))
+    return members.select(F.explode(F.when(blocks == 1, F.array("region")).otherwise(pairs)).alias("region"), "id", *others)
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """Regions of two or more ids."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    return _paired(members.join(sizes, "region"), F.ceil(F.col("n") / BLOCK))
+
+
+def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members that carry their signature, large regions split; their sizes are told by a sample of the ids."""
+    sample = members.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLE)) == 0)
+    large = scratch.write(sample.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > BLOCK), "large")
+    if large.isEmpty():
+        return members
+    return _paired(members.join(large, "region", "left"), F.ceil(F.coalesce(F.col("n") * SAMPLE, F.lit(1)) / BLOCK), "sig")
 
 
-def link(members: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], lower: Lower, width: int, radius: float, scratch: Scratch) -> DataFrame:
+def link(members: DataFrame, signatures: DataFrame | None, verify: Callable[[DataFrame], DataFrame], lower: Lower, width: int, radius: float, scratch: Scratch) -> DataFrame:
     """(id, label) for all ids with a link; ids without one are absent.
 
-    members: (region, id), ids once per region; signatures: (id, sig binary of `width` bytes); verify: from pairs (a, b)
-    to those that link. lower(many, one) bounds the distance from below and is a metric itself.
+    members: (region, id), ids once per region, or (region, id, sig) where signatures are short; signatures: (id, sig binary
+    of `width` bytes); verify: from pairs (a, b) to those that link. lower(x, y) bounds the distances of rows of x to those
+    of y (or to the only one) from below and is a metric itself.
     """
-    regions = scratch.write(_split(members), "regions")
-    seen = regions.join(signatures, "id").select("region", "id", "sig")
+    if "sig" in members.columns:
+        regions, base = _dealt(members.select("region", "id", "sig"), scratch), None
+        seen = regions
+    else:
+        regions = base = scratch.write(_shared(members), "regions")
+        seen = regions.join(signatures, "id").select("region", "id", "sig")
     stars = scratch.write(seen.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_star_task(lower, width, radius), "region long, a long, b long, crossing boolean"), "stars")
     tried = scratch.write(stars.select("a", "b").distinct(), "tried")
     links = scratch.write(verify(tried).select("a", "b"), "links")
     labels = components(links, scratch)
     failed = stars.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-    again = failed.where("crossing or coalesce(la, a) <> coalesce(lb, b)").select("region").distinct()
-    left = scratch.write(regions.join(again, "region").join(signatures, "id").select("region", "id", "sig"), "again")
-    scratch.drop(regions, stars)
+    again = scratch.write(failed.where("crossing or coalesce(la, a) <> coalesce(lb, b)").select("region").distinct(), "revisited")
+    if again.isEmpty():
+        return labels
+    left = regions.join(again, "region")
+    left = scratch.write((left if base is None else left.join(signatures, "id")).select("region", "id", "sig"), "again")
+    scratch.drop(stars, *([base] if base is not None else []))
     visit = 0
     while not left.isEmpty():
         narrow = visit < NARROW
