@@ -78,7 +78,7 @@ def near_classes(prints: DataFrame, radius: int, scratch: Scratch, bits: int = B
     prints = prints.where("doc_id is not null").select("doc_id", "sig").distinct()
     classes = scratch.write(prints.groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
     members = classes.dropDuplicates(["id"]).select("id", "sig", F.explode(F.array_distinct(block_keys("sig", bits, radius, blocks))).alias("region"))
-    labels = link(members, None, lambda pairs: pairs, hamming, bits // 8, radius, scratch)
+    labels = link(members, classes.dropDuplicates(["id"]).select("id", "sig"), lambda pairs: pairs, hamming, bits // 8, radius, scratch)
     named = classes.join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("near_id"))
     return prints.join(named, "sig").groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
 

@@ -56,7 +56,7 @@ def _whole(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.nda
 
 
 def _crossing(near: np.ndarray, window: np.ndarray, d_near: np.ndarray, d_window: np.ndarray, group: np.ndarray, sig: np.ndarray, lower: Lower, radius: float) -> np.ndarray:
-    """Groups in which a boundary row is near a member of the cell; of a cell only members far enough out are compared."""
+    """Boundary rows that are near a member of the cell; of a cell only members far enough out are compared."""
     shared = np.intersect1d(group[near], group[window])
     found = []
     if len(shared):
@@ -72,13 +72,16 @@ def _crossing(near: np.ndarray, window: np.ndarray, d_near: np.ndarray, d_window
             if n.sum():
                 y = np.repeat(window[lo:hi], n)
                 x = inner[np.repeat(starts[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                found.append(group[y[lower(sig[x], sig[y]) <= radius]])
+                found.append(y[lower(sig[x], sig[y]) <= radius])
             lo = hi
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def _stars(at: np.ndarray, sig: np.ndarray, lower: Lower, radius: float):
-    """(member, pivot) rows of the cells of all groups at once, and which groups have a boundary row near another cell."""
+    """(member, pivot) rows of the cells of all groups at once, and which groups have a boundary row near another cell.
+
+    Such a boundary row is given as its own pivot too, as it may be in no cell.
+    """
     group = np.repeat(np.arange(len(at) - 1), np.diff(at))
     crossing = np.zeros(len(at) - 1, dtype=bool)
     alive, members, pivots = np.flatnonzero(np.repeat(np.diff(at) > 1, np.diff(at))), [], []
@@ -94,7 +97,10 @@ def _stars(at: np.ndarray, sig: np.ndarray, lower: Lower, radius: float):
         members.append(rest[near])
         pivots.append(pivot[near])
         if window.any() and near.any():
-            crossing[_crossing(rest[near], rest[window], d[near], d[window], group, sig, lower, radius)] = True
+            across = _crossing(rest[near], rest[window], d[near], d[window], group, sig, lower, radius)
+            crossing[group[across]] = True
+            members.append(across)
+            pivots.append(across)
         alive = rest[~near]
     return np.concatenate(members) if members else alive, np.concatenate(pivots) if pivots else alive, crossing, group
 
@@ -169,30 +175,27 @@ def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
     return _paired(members.join(large, "region", "left"), F.ceil(F.coalesce(F.col("n") * SAMPLE, F.lit(1)) / BLOCK), "sig")
 
 
-def link(members: DataFrame, signatures: DataFrame | None, verify: Callable[[DataFrame], DataFrame], lower: Lower, width: int, radius: float, scratch: Scratch) -> DataFrame:
+def link(members: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], lower: Lower, width: int, radius: float, scratch: Scratch) -> DataFrame:
     """(id, label) for all ids with a link; ids without one are absent.
 
-    members: (region, id), ids once per region, or (region, id, sig) where signatures are short; signatures: (id, sig binary
+    members: (region, id), ids once per region, or (region, id, sig) if signatures are short; signatures: (id, sig binary
     of `width` bytes); verify: from pairs (a, b) to those that link. lower(x, y) bounds the distances of rows of x to those
     of y (or to the only one) from below and is a metric itself.
     """
-    if "sig" in members.columns:
-        regions, base = _dealt(members.select("region", "id", "sig"), scratch), None
-        seen = regions
-    else:
-        regions = base = scratch.write(_shared(members), "regions")
-        seen = regions.join(signatures, "id").select("region", "id", "sig")
+    seen = _dealt(members.select("region", "id", "sig"), scratch) if "sig" in members.columns else _shared(members).join(signatures, "id").select("region", "id", "sig")
     stars = scratch.write(seen.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_star_task(lower, width, radius), "region long, a long, b long, crossing boolean"), "stars")
-    tried = scratch.write(stars.select("a", "b").distinct(), "tried")
+    tried = scratch.write(stars.where("a <> b").select("a", "b").distinct(), "tried")
     links = scratch.write(verify(tried).select("a", "b"), "links")
     labels = components(links, scratch)
     failed = stars.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
     again = scratch.write(failed.where("crossing or coalesce(la, a) <> coalesce(lb, b)").select("region").distinct(), "revisited")
     if again.isEmpty():
         return labels
-    left = regions.join(again, "region")
-    left = scratch.write((left if base is None else left.join(signatures, "id")).select("region", "id", "sig"), "again")
-    scratch.drop(stars, *([base] if base is not None else []))
+    # an id that is near none of its region is in no row of stars and need not come again
+    near = stars.join(again, "region")
+    near = near.select("region", F.col("a").alias("id")).union(near.select("region", F.col("b").alias("id"))).distinct()
+    left = scratch.write(near.join(signatures, "id").select("region", "id", "sig"), "again")
+    scratch.drop(stars)
     visit = 0
     while not left.isEmpty():
         narrow = visit < NARROW
