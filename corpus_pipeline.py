@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; those of which nothing is left go. n_chars follows the text."""
-    out = line_dedup.drop_repeated_lines(spark, docs).where("n_removed = 0 or trim(text) <> ''")
+    out = line_dedup.drop_repeated_lines(spark, docs).where(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike("\\S"))
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
