@@ -111,12 +111,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 100, parts: int = 32, eta: float = 4.0, sample_rows: int = 10_000) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k nearest rows of `vectors` by cosine, itself left out.
 
-    Both have vec_id and embedding of one length; vectors with null, non-finite or only zero components take no part, nor
+    Both have vec_id and embedding; vectors of another than the most frequent length, null, non-finite or only zero components take no part, nor
     do null vec_ids. Ties go to the smaller vec_id. Codebooks are fitted on about `sample_rows` rows; every row is coded
     and scanned. Each pair of a candidate block and a query block is one group: `rerank` candidates per query and block
     are scored exactly. Repeated rows count once. Without vectors or queries the result is empty.
     """
     v, q = usable(vectors).dropDuplicates(["vec_id"]), usable(queries).dropDuplicates(["vec_id"])
+    lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if lengths:
+        v, q = (t.where(F.size("v") == lengths[0].d) for t in (v, q))
     n, m = v.count(), q.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n or not m:
