@@ -47,7 +47,8 @@ def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of `df` whose key is in the one-column table `ids` (distinct values of the same name).
 
     A bitmap of the ids, at most FILTER_BITS large whatever their number, is broadcast first, so that few of the other
-    rows are shuffled; the semi join then decides exactly.
+    rows are shuffled; the join with the ids then decides exactly. It is no semi join, which the optimiser would move
+    below the bitmap.
     """
     cell = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
     bits = ids.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("__cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("__bits"))
@@ -58,4 +59,4 @@ def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
         .where(F.expr("(shiftright(__bits, cast(__c & 63 as int)) & 1) = 1"))
         .drop("__c", "__cell", "__bits")
     )
-    return near.join(ids, key, "left_semi")
+    return near.join(ids.select(key).distinct(), key).select(df.columns)
