@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import textkit as T
 from parley.llm.components import components
-from parley.llm.scratch import Scratch
+from parley.llm.scratch import Scratch, only
 
 #: A region with more ids is dealt as pairs of blocks of about this many, each pair its own task group.
 BLOCK = 20_000
@@ -194,7 +194,7 @@ def link(members: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame]
     # an id that is near none of its region is in no row of stars and need not come again
     near = stars.join(again, "region")
     near = near.select("region", F.col("a").alias("id")).union(near.select("region", F.col("b").alias("id"))).distinct()
-    left = scratch.write(near.join(signatures, "id").select("region", "id", "sig"), "again")
+    left = scratch.write(near.join(only(signatures, near.select("id"), "id"), "id").select("region", "id", "sig"), "again")
     scratch.drop(stars)
     visit = 0
     while not left.isEmpty():
