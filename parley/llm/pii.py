@@ -133,31 +133,27 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _date(text: str, key: bytes, back: bool) -> str | None:
-    if text[4:5] in "-/." and text[4:5]:
-        parts, order = re.split(r"[-/.]", text), (0, 1, 2)
-    else:
-        parts, order = re.split(r"[-/.]", text), (2, 1, 0)
-    year, month, day = (int(parts[i]) for i in order)
-    swapped = False
-    if order[0] == 2 and month > 12 >= day:
-        month, day, swapped = day, month, True
+    parts, marks = re.split(r"[-/.]", text), re.findall(r"[-/.]", text)
+    first = len(parts[0]) == 4  # the year comes first
+    year, month, day = (int(parts[i]) for i in ((0, 1, 2) if first else (2, 1, 0)))
+    swapped = not first and month > 12 >= day
+    if swapped:
+        month, day = day, month
     try:
         at = datetime.date(year, month, day).toordinal() - _EPOCH
     except ValueError:
         return None
     if not 0 <= at < _DAYS:
         return None
-    if order[0] == 2:  # day first and month first cannot be told apart when both are 12 or less: stay in the form that was read
-        swap = "mdy" if swapped else "dmy"
-        while True:
-            at = permute(at, _DAYS, key, "date" + swap, back)
-            new = datetime.date.fromordinal(at + _EPOCH)
-            if not swapped or new.day > 12:
-                break
-        fields = (new.month, new.day) if swapped else (new.day, new.month)
-        return f"{fields[0]:02d}{text[2]}{fields[1]:02d}{text[5]}{new.year:04d}"
-    new = datetime.date.fromordinal(permute(at, _DAYS, key, "date", back) + _EPOCH)
-    return f"{new.year:04d}{text[4]}{new.month:02d}{text[7]}{new.day:02d}"
+    # day first and month first cannot be told apart when both are 12 or less: stay in the form that was read
+    tweak = "date" if first else "datemdy" if swapped else "datedmy"
+    while True:
+        at = permute(at, _DAYS, key, tweak, back)
+        new = datetime.date.fromordinal(at + _EPOCH)
+        fields = [new.year, new.month, new.day] if first else [new.month, new.day, new.year] if swapped else [new.day, new.month, new.year]
+        out = [str(f).zfill(len(p)) for f, p in zip(fields, parts)]
+        if all(len(o) == len(p) for o, p in zip(out, parts)) and (not swapped or new.day > 12):
+            return out[0] + marks[0] + out[1] + marks[1] + out[2]
 
 
 def _secret(text: str, key: bytes, back: bool) -> str | None:
@@ -177,7 +173,7 @@ KINDS = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     "secret": (r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])", _secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", _iban),
-    "date": (r"(?<![\d.])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2(?:19|20)\d\d)(?![\d])", _date),
+    "date": (r"(?<![\d.])(?:(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d)(?![\d])", _date),
     "ip": (r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", _ip),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     "phone": (r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", _phone),
@@ -186,19 +182,70 @@ KINDS = {
 _ALL = re.compile("|".join(f"(?P<{k}>{re.sub(chr(92) + chr(92) + '([12])', lambda m: '(?P=' + k + m[1] + ')', re.sub(r'\(\[-/\.\]\)', lambda m, n=iter('12'): f'(?P<{k}{next(n)}>[-/.])', p))})" for k, (p, _) in KINDS.items()), re.ASCII)
 
 
-def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[str]]:
-    """The text with every validated value permuted, and the kinds found in order; `back` undoes it."""
-    kinds: list[str] = []
+_EACH = {k: re.compile(p, re.ASCII) for k, (p, _) in KINDS.items()}
+#: Kinds of several groups: a match may have swallowed groups that are not part of the value.
+GROUPED = {"iban", "phone", "card"}
+#: What no value reaches across: other characters, and spaces beside a lower-case letter.
+_PIECE = re.compile(r"[^A-Za-z0-9._%+@()/ -]+|(?<=[a-z]) | (?=[a-z])")
+#: Pieces of at most so many values are permuted until they are read as the same values again, so that `back` restores them.
+WALKED = 4
 
-    def one(match: re.Match) -> str:
-        kind = match.lastgroup if match.lastgroup in KINDS else next(k for k in KINDS if match[k] is not None)
-        new = KINDS[kind][1](match[kind], key, back)
-        if new is None:
-            return match[0]
-        kinds.append(kind)
-        return new
 
-    return _ALL.sub(one, text), kinds
+def _read(text: str, at: int, key: bytes, back: bool) -> list[tuple[int, int, str, str]]:
+    """The values of a text from `at` on: start, end, kind, permuted value.
+
+    At each place the kinds are tried in order, each from its longest match down to shorter ends at group boundaries; if
+    none validates, the search goes on one character later.
+    """
+    found = []
+    while match := _ALL.search(text, at):
+        start, at = match.start(), match.start() + 1
+        for kind, form in _EACH.items():
+            if whole := form.match(text, start):
+                ends = [whole.end()]
+                if kind in GROUPED:
+                    ends += [i for i in range(whole.end() - 1, start, -1) if text[i] in " .-" and form.fullmatch(text, start, i)]
+                hit = next(((start, end, kind, new) for end in ends if (new := KINDS[kind][1](text[start:end], key, back)) is not None), None)
+                if hit:
+                    found.append(hit)
+                    at = hit[1]
+                    break
+    return found
+
+
+def _put(text: str, found: list[tuple[int, int, str, str]]) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with the permuted values, and where they are in it."""
+    out, places, done, size = [], [], 0, 0
+    for start, end, kind, new in found:
+        size += start - done
+        places.append((size, size + len(new), kind))
+        out += [text[done:start], new]
+        size, done = size + len(new), end
+    return "".join(out) + text[done:], places
+
+
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[str]]:
+    """The text with every validated value permuted, and the kinds found in order; `back` undoes it.
+
+    A pseudonym with the groups beside it may by chance be valid as a longer value. Then the values of its piece are
+    permuted again until they are read as before; pieces of more than WALKED values keep their first pseudonyms, and
+    `back` may miss some of them.
+    """
+    kinds: list[str] = []
+    out, done = [], 0
+    while match := _ALL.search(text, done):
+        first = max(done, match.start() - 1)  # forms look at one character before them
+        cut = _PIECE.search(text, match.start())
+        end = cut.start() if cut else len(text)
+        piece, at = text[first:end], match.start() - first
+        found = _read(piece, at, key, back)
+        piece, places = _put(piece, found)
+        while 0 < len(found) <= WALKED and [v[:3] for v in _read(piece, at, key, back)] != places:
+            piece, places = _put(piece, [(a, b, kind, KINDS[kind][1](piece[a:b], key, back)) for a, b, kind in places])
+        kinds += [v[2] for v in found]
+        out += [text[done:first], piece]
+        done = end
+    return "".join(out) + text[done:], kinds
 
 
 def _task(key: bytes):

@@ -324,6 +324,17 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymise(text, b"k") == (text, [])
 
 
+SWALLOWED = [("4539 1488 0343 6467", " 12/25", "card"), ("4539 1488 0343 6467", " 456", "card"), ("AT61 1904 3002 3457 3201", " BIC", "iban"), ("ES91 2100 0418 4502 0005 1332", " 2024", "iban"), ("3/4/2021", "", "date"), ("2021-3-4", "", "date")]
+
+
+@pytest.mark.parametrize("value, after, kind", SWALLOWED)
+@pytest.mark.parametrize("before", ["", "CODE ", "12 "])
+def test_values_beside_other_groups(value, after, kind, before):
+    text, kinds = pii.pseudonymise(before + value + after, b"k")
+    assert kinds == [kind] and value not in text and text.startswith(before) and text.endswith(after)
+    assert pii.pseudonymise(text, b"k", back=True)[0] == before + value + after
+
+
 def test_pii_table(spark, docs, rows, empty):
     extra = spark.createDataFrame([(1, "call +1 (743) 555-3824", "x"), (2, None, "x"), (3, "", "x"), (None, "10.0.0.1", "x")], "doc_id long, text string, kinds string")
     got = {r.doc_id: r for r in pii.pseudonymise_texts(spark, extra).collect()}
