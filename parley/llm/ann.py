@@ -2,8 +2,8 @@
 
 For a query of high inner product with a point the error parallel to the point costs most, so codewords minimise
 eta * |parallel residual|^2 + |orthogonal residual|^2. Vectors are scaled to length one, so inner products are cosines.
-A block of candidates is scanned with one table of 16 values per subspace and query; the best of each block are scored
-exactly on the original vectors, and the best of all blocks remain.
+A block of candidates is scanned with one table of 16 values per subspace and query; all that may be among the best of the
+block, by the error of their codes, are scored exactly on the original vectors, and the best of all blocks remain.
 """
 
 from __future__ import annotations
@@ -81,19 +81,30 @@ def _scan_task(quantiser, k: int, rerank: int):
             return schema.empty_table()
         ids, qids = candidates.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
         x, q = (np.stack(t.column("v").to_numpy(zero_copy_only=False)).astype(np.float64) for t in (candidates, queries))
-        codes = quantiser.value.encode(_directions(x))
+        ux, uq = _directions(x), _directions(q)
+        codes = quantiser.value.encode(ux)
+        # a table score is off by no more than the length of what the code leaves out, and by rounding
+        off = np.linalg.norm(ux - quantiser.value.decode(codes), axis=1) + 1e-4
         m = min(len(ids), max(rerank, k + 1))
         out = []
         for lo in range(0, len(qids), 64):
-            part = q[lo : lo + 64]
-            table = quantiser.value.tables(_directions(part))
+            part, unit = q[lo : lo + 64], uq[lo : lo + 64]
+            table = quantiser.value.tables(unit)
             score = np.zeros((len(part), len(ids)), np.float32)
             for s in range(codes.shape[1]):
                 score += table[:, s, :][:, codes[:, s]]
             best = np.argpartition(-score, m - 1, axis=1)[:, :m]
-            exact = cosine(x[best], part[:, None, :])
-            for i, (rows, value) in enumerate(zip(best, exact)):
-                rows, value = rows[ids[rows] != qids[lo + i]], value[ids[rows] != qids[lo + i]]
+            # k others than the query are at least as good as the k + 1st of these
+            least = -np.sort(-cosine(x[best], part[:, None, :]), axis=1)[:, k] if m > k else np.full(len(part), -np.inf)
+            may = score + off >= least[:, None]
+            inner = unit @ ux.T if may.mean() > 0.1 else None
+            for i in range(len(part)):
+                rows = np.flatnonzero(may[i])
+                near = ux[rows] @ unit[i] if inner is None else inner[i, rows]
+                if len(rows) > k + 1:
+                    rows = rows[near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1] - 1e-9]
+                rows = rows[ids[rows] != qids[lo + i]]
+                value = cosine(x[rows], part[i])
                 order = np.lexsort((ids[rows], -value))[:k]
                 out.append((np.full(len(order), qids[lo + i]), ids[rows[order]], value[order]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
@@ -113,8 +124,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
 
     Both have vec_id and embedding; vectors of another than the most frequent length, null, non-finite or only zero components take no part, nor
     do null vec_ids. Ties go to the smaller vec_id. Codebooks are fitted on about `sample_rows` rows; every row is coded
-    and scanned. Each pair of a candidate block and a query block is one group: `rerank` candidates per query and block
-    are scored exactly. Repeated rows count once. Without vectors or queries the result is empty.
+    and scanned. Each pair of a candidate block and a query block is one group: the `rerank` best table scores per query
+    and block give a bound, and every candidate whose table score is within its error of it is scored exactly, so the
+    result is that of a full search. Repeated rows count once. Without vectors or queries the result is empty.
     """
     v, q = usable(vectors).dropDuplicates(["vec_id"]), usable(queries).dropDuplicates(["vec_id"])
     lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()

@@ -485,6 +485,25 @@ def test_ann(spark, monkeypatch):
     assert ann.nearest(spark, df.where("false"), df).count() == 0
 
 
+def test_ann_copies_and_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[rng.permutation(3000)[:1000]] = x[0]
+    close = rng.permutation(3000)[:1000]
+    x[close] = x[1] + 0.01 * rng.normal(size=(1000, 16))
+    x[5] = 2 * x[close[0]]
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = [0, 1, 5, *map(int, close[:5]), 2998, 2999]
+    got = {}
+    for r in ann.nearest(spark, df, df.where(F.col("vec_id").isin(asked))).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for a in asked:
+        score = ann.cosine(x, x[a])
+        score[a] = -9
+        assert got[a] == list(np.lexsort((np.arange(3000), -score))[:5])
+
+
 def test_grammar_readings():
     g = toxicity.Grammar(np.array([textkit.hash_bytes(b"idiot")], np.uint64), np.array([3.0]))
 
