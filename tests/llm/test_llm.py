@@ -214,6 +214,23 @@ def test_line_dedup_equals_brute_force(spark, empty):
     assert line_dedup.drop_repeated_lines(spark, empty).count() == 0
 
 
+def test_lines_with_a_changed_word_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    common = [word() for _ in range(400)]
+    rows = []
+    for n in [12, 20, 40, 80, 160] * 12:
+        line = [rng.choice(common) for _ in range(n)]
+        other = list(line)
+        other[rng.randrange(n)] = word()
+        rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = lambda a, b: 100 * (max(len(a), len(b)) - line_dedup.edit_distance(a, b)) >= 90 * max(len(a), len(b))
+    group = union_find(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(rows[i][1], rows[j][1])])
+    assert sum(group[i] != i for i in group) > 50
+    assert got == {i: int(group[i] != i) for i in group}
+
+
 def test_licenses_equal_brute_force(spark, docs, empty):
     rng = random.Random(8)
     phrases = list(licenses.PHRASES)
