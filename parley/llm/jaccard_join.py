@@ -18,24 +18,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textkit as T
+from parley.llm.components import components
 from parley.llm.scratch import Scratch, only
 from parley.llm.voronoi import link
 
-SLICES = 64
-WIDTH = 2 * SLICES
+#: Slices of the hash space; a signature holds the parity of a set's size in each, after the size itself.
+SLICES = 2048
+WIDTH = 8 + SLICES // 8
 #: Bits of the table of frequent shingles; a cell is set if one of its shingles is in two sample documents.
 COMMON_BITS = 23
+#: A class of equal sets that holds more than one row in so many is joined by broadcast: at most so many rows.
+HEAVY = 10_000
 
 
 def lower(many: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Bound on Jaccard distance from the sizes of the sets in SLICES slices of the hash space.
+    """Bound on Jaccard distance from set sizes and the parities of their slices.
 
-    With D the L1 distance of the slice sizes, at least D elements are in one set only, so the distance is at least
-    2D / (|x| + |y| + D): Steinhaus' transform of a metric, which is a metric.
+    Each slice of unequal parity holds an element that is in one set only; with D the larger of the number of such slices
+    and the difference of sizes, the distance is at least 2D / (|x| + |y| + D): Steinhaus' transform of a metric, a metric.
     """
-    x, y = many.view("<u2").astype(np.int32), one.view("<u2").astype(np.int32)
-    apart = np.abs(x - y).sum(axis=1)
-    return 2 * apart / np.maximum(x.sum(axis=1) + y.sum(axis=1) + apart, 1) - 1e-12
+    x, y = np.ascontiguousarray(many).view("<u8"), np.ascontiguousarray(one).view("<u8")
+    nx, ny = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+    apart = np.maximum(np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1, dtype=np.int64), np.abs(nx - ny))
+    return 2 * apart / np.maximum(nx + ny + apart, 1) - 1e-12
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """Size and packed slice parities of a set of hashes."""
+    odd = np.bincount((found & T.U(SLICES - 1)).astype(np.int64), minlength=SLICES) & 1
+    return np.concatenate([np.array([len(found)], "<u8").view(np.uint8), np.packbits(odd.astype(np.uint8))])
 
 
 def shingle_sets(column: pa.Array, n: int):
@@ -75,18 +86,18 @@ def _feature_task(n: int, percent: int, common):
         for batch in batches:
             ids, sets = batch.column("doc_id"), []
             sizes, keys1, keys2 = [], [], []
-            sketch = np.zeros((batch.num_rows, SLICES), dtype=np.uint16)
+            sketch = np.zeros((batch.num_rows, WIDTH), dtype=np.uint8)
             for i, found in enumerate(shingle_sets(batch.column("text"), n)):
                 size = len(found)
                 sizes.append(size)
                 keys1.append(T.mix(found ^ T.U(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 keys2.append(T.mix(found ^ T.U(0x14057B7EF767814F)).sum(dtype=np.uint64))
-                sketch[i] = np.minimum(np.bincount((found & T.U(SLICES - 1)).astype(np.int64), minlength=SLICES), 65535)
+                sketch[i] = signature(found)
                 late = table[(found >> T.U(64 - COMMON_BITS)).astype(np.int64)]
                 need = (percent * size + 99) // 100
                 sets.append(np.concatenate([found[~late], found[late]])[: size - need + 1] if size else found)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), T.longs(np.array(keys1, np.uint64)), T.longs(np.array(keys2, np.uint64)), T.binary(sketch.view(np.uint8)), T.long_lists(sets)],
+                [ids, pa.array(sizes, pa.int64()), T.longs(np.array(keys1, np.uint64)), T.longs(np.array(keys2, np.uint64)), T.binary(sketch), T.long_lists(sets)],
                 names=["doc_id", "size", "k1", "k2", "sig", "anchors"],
             )
 
@@ -105,13 +116,15 @@ def _verify_task(n: int, percent: int):
     return run
 
 
-def verify(docs: DataFrame, n: int, percent: int):
-    """Pairs (a, b) of ids to those whose full shingle sets are similar enough."""
+def verify(docs: DataFrame, place: DataFrame, n: int, percent: int):
+    """Pairs (a, b) of class ids to those whose full shingle sets are similar enough; place: (id, doc_id, k1, k2, size)."""
 
     def run(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        have = only(docs.select("doc_id", "text"), ids, "doc_id")
-        both = pairs.join(have.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = only(place, ids, "id")
+        have = only(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
+        texts = have.join(wanted.select("id", "doc_id"), "doc_id").select("id", "text")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return both.mapInArrow(_verify_task(n, percent), "a long, b long").distinct()
 
     return run
@@ -130,16 +143,37 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = spark.sparkContext.broadcast(common_table(docs, n, sample_docs))
     features = scratch.write(docs.mapInArrow(_feature_task(n, percent, common), "doc_id long, size long, k1 long, k2 long, sig binary, anchors array<long>"), "features")
-    classes = features.where("size > 0 and doc_id is not null").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"))
-    member = scratch.write(features.where("size > 0 and doc_id is not null").select("doc_id", "k1", "k2", "size").join(classes, ["k1", "k2", "size"]).select("doc_id", "rep", "size").distinct(), "classes")
-    reps = features.where("size > 0").join(member.where("doc_id = rep").select("doc_id", "size"), ["doc_id", "size"], "left_semi")
-    regions = reps.select(F.col("doc_id").alias("id"), F.explode("anchors").alias("region"))
-    signatures = reps.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
-    labels = link(regions, signatures, verify(docs, n, percent), lower, WIDTH, 1 - percent / 100, scratch)
+    key = ["k1", "k2", "size"]
+    full = features.where("size > 0 and doc_id is not null")
+    classes = scratch.write(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    rows = max(1, features.count())
+    # a class of one row needs no join, a heavy one no shuffle
+    heavy = classes.where(F.col("rows") * HEAVY > rows)
+    named = full.select("doc_id", *key).join(F.broadcast(heavy.select(*key, F.col("rep").alias("of"))), key, "left")
+    others = named.where("of is null").drop("of").join(classes.where((F.col("rows") * HEAVY <= rows) & (F.col("rows") > 1)).select(*key, "rep"), key, "left")
+    member = scratch.write(named.where("of is not null").select("doc_id", F.col("of").alias("rep"), *key).union(others.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), *key)).distinct(), "members")
+    # sets are told apart by their class, as a document may have several rows with different sets
+    own = F.xxhash64(*key)
+    reps = features.join(member.where("doc_id = rep").select("doc_id", *key), ["doc_id", *key], "left_semi").withColumn("id", own)
+    regions = reps.select("id", F.explode("anchors").alias("region"))
+    signatures = reps.select("id", "sig").dropDuplicates(["id"])
+    place = member.where("doc_id = rep").select(own.alias("id"), "doc_id", *key)
+    labels = link(regions, signatures, verify(docs, place, n, percent), lower, WIDTH, 1 - percent / 100, scratch)
     # a document with rows in several classes ties those classes together
-    joined = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("label"))
-    final = scratch.write(joined.groupBy("doc_id").agg(F.min("rep").alias("class_id"), F.min("label").alias("component_id")), "final")
-    return features.select("doc_id", F.col("size").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = member.select("doc_id", "rep", own.alias("id")).join(labels, "id", "left").select("doc_id", "rep", "id", F.coalesce("label", "id").alias("label"))
+    tied = scratch.write(joined.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("label").alias("label"), F.max("label").alias("last")), "tied")
+    ties = tied.where("label <> last")
+    if not ties.isEmpty():
+        edges = joined.join(ties.select("doc_id", F.col("label").alias("to")), "doc_id").select(F.col("label").alias("a"), F.col("to").alias("b")).distinct()
+        again = components(edges, scratch)
+        tied = tied.join(again.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("doc_id", "rep", F.coalesce("to", "label").alias("label"))
+    # labels are class hashes; the smallest document of each names the component
+    smallest = tied.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("docs"))
+    smallest = smallest.where("docs > 1").select("label", "component_id")
+    final = scratch.write(tied.join(smallest, "label", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id")), "final")
+    sizes = scratch.write(features.select("doc_id", F.col("size").alias("n_shingles")), "sizes")
+    scratch.close(final, sizes)
+    return sizes.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

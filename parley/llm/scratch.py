@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,24 +25,54 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run, written as Parquet under the shared folder; a lost executor only repeats its own tasks."""
+    """Tables of one run, written as Parquet under the shared folder; a lost executor only repeats its own tasks.
+
+    A table is dropped once no later step reads it; `close` drops all but those that a result still reads.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.tables: list[tuple[DataFrame, str]] = []
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later step reads."""
-        for df in tables:
-            for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                if file.startswith(self.folder.removeprefix("file://")) or self.folder.rpartition("/")[2] in file:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete tables of this run that no later step reads; other frames are passed over."""
+        for df, path in self.tables:
+            if any(df is t for t in tables):
+                self._delete(path)
+        self.tables = [(df, path) for df, path in self.tables if not any(df is t for t in tables)]
+
+    def close(self, *keep: DataFrame) -> None:
+        """Delete every table but those in `keep`."""
+        self.drop(*[df for df, _ in self.tables if not any(df is k for k in keep)])
+        if not self.tables:
+            self._delete(self.folder)
+
+
+#: Runs whose results may still read their tables.
+_open: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """What is written by the operators called inside goes when the block ends: write their results before."""
+    before = len(_open)
+    yield
+    for scratch in _open[before:]:
+        scratch.close()
+    del _open[before:]
 
 
 def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

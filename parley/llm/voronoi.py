@@ -4,8 +4,12 @@ Input are regions (any two ids that may link share one) and a signature per id w
 exceeds the true one. In a region the first id is a pivot; ids within the radius form its Voronoi cell, ids in the window
 between one and two radii are the boundary that may link across cells, ids beyond two radii cannot link into the cell.
 The rest is divided again with the next pivot. Each id is first verified against its pivot only. Where a verification
-fails, or a boundary id is near a cell's members, the region is visited again, now only for pairs whose components still
-differ, until no such pair is left. So components are exact, yet a group of g mutual copies costs g verifications.
+fails, or a boundary id is near a cell's members, the region is visited again: an id of a smaller component is verified
+with the nearest members of the larger ones, four at first and four times as many in each further visit, until no pair
+of different components is left that may link. So components are exact, yet a group of g mutual copies costs g
+verifications, and what is emitted grows with the ids that are outside the largest component of their region.
+Regions of more than BLOCK ids are dealt as blocks that share the region's pivot; then only the ids outside the region's
+largest component go to every block.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from parley.llm import textkit as T
 from parley.llm.components import components
 from parley.llm.scratch import Scratch, only
 
-#: A region with more ids is dealt as pairs of blocks of about this many, each pair its own task group.
+#: A region with more ids is dealt as blocks of about this many.
 BLOCK = 20_000
-#: Partners an id is verified with in each of the first NARROW visits of a region; later visits take every pair left.
-PARTNERS, NARROW = 4, 3
+#: Partners an id is verified with in the first visit of a region; each further visit takes four times as many.
+PARTNERS = 4
+#: Pivots taken from each region before it is left to the visits.
+ROUNDS = 64
 
 Lower = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -85,7 +91,9 @@ def _stars(at: np.ndarray, sig: np.ndarray, lower: Lower, radius: float):
     group = np.repeat(np.arange(len(at) - 1), np.diff(at))
     crossing = np.zeros(len(at) - 1, dtype=bool)
     alive, members, pivots = np.flatnonzero(np.repeat(np.diff(at) > 1, np.diff(at))), [], []
-    while len(alive):
+    for _ in range(ROUNDS):
+        if not len(alive):
+            break
         g = group[alive]
         new = np.ones(len(alive), dtype=bool)
         new[1:] = g[1:] != g[:-1]
@@ -102,6 +110,10 @@ def _stars(at: np.ndarray, sig: np.ndarray, lower: Lower, radius: float):
             members.append(across)
             pivots.append(across)
         alive = rest[~near]
+    if len(alive):  # regions of very many cells: what is left is searched in the visits
+        crossing[group[alive]] = True
+        members.append(alive)
+        pivots.append(alive)
     return np.concatenate(members) if members else alive, np.concatenate(pivots) if pivots else alive, crossing, group
 
 
@@ -116,35 +128,49 @@ def _star_task(lower: Lower, width: int, radius: float):
     return run
 
 
-def _across(sig: np.ndarray, label: np.ndarray, ids: np.ndarray, lower: Lower, radius: float, narrow: bool) -> np.ndarray:
-    """Near pairs with different labels in one region: rows sorted by distance to a pivot meet only inside the window."""
+def _across(sig: np.ndarray, label: np.ndarray, ids: np.ndarray, lower: Lower, radius: float, partners: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """Near pairs with different labels in one region, as (smaller ids, larger ids, whether some were left for later).
+
+    Rows sorted by their distance to a pivot meet only inside the window. A row meets rows of labels that are more frequent
+    than its own: the nearest row of each label first, `partners` rows at most.
+    """
+    values, label, counts = np.unique(label, return_inverse=True, return_counts=True)
+    weight = np.empty(len(values), np.int64)
+    weight[np.lexsort((values, counts))] = np.arange(len(values))
+    weight = weight[label]
     d = lower(sig, sig[:1])
     order = np.argsort(d, kind="stable")
-    d, out = d[order], []
-    end = np.searchsorted(d, d + radius, "right")
-    for i in range(len(order) - 1):
-        x, others = order[i], order[i + 1 : end[i]]
-        others = others[label[others] != label[x]]
+    d, weight, sig, ids = d[order], weight[order], sig[order], ids[order]
+    first, end = np.searchsorted(d, d - radius - 1e-9), np.searchsorted(d, d + radius + 1e-9, "right")
+    out = []
+    for x in np.flatnonzero(weight < len(values) - 1):
+        others = first[x] + np.flatnonzero(weight[first[x] : end[x]] > weight[x])
         if not len(others):
             continue
         gap = lower(sig[others], sig[x : x + 1])
         others, gap = others[gap <= radius], gap[gap <= radius]
-        if narrow and len(others) > PARTNERS:
-            others = others[np.argsort(gap, kind="stable")[:PARTNERS]]
+        more = len(others) > partners
+        if more:
+            by = np.lexsort((gap, weight[others]))
+            w = weight[others][by]
+            turn = np.arange(len(by)) - np.searchsorted(w, w)  # place among the rows of one label
+            others = others[by[np.lexsort((gap[by], turn))[:partners]]]
         if len(others):
-            out.append(np.stack([np.maximum(ids[others], ids[x]), np.minimum(ids[others], ids[x])]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            out.append((np.minimum(ids[others], ids[x]), np.maximum(ids[others], ids[x]), more))
+    return out
 
 
-def _across_task(lower: Lower, width: int, radius: float, narrow: bool):
+def _across_task(lower: Lower, width: int, radius: float, partners: int):
     def run(batches):
         for rows, at in _groups(batches):
-            ids, sig, label = rows.column(1).to_numpy(), T.matrix(rows.column(2), width), rows.column(3).to_numpy()
+            region, ids, sig, label = rows.column(0).to_numpy(), rows.column(1).to_numpy(), T.matrix(rows.column(2), width), rows.column(3).to_numpy()
             for lo, hi in zip(at[:-1], at[1:]):
                 if (label[lo:hi] != label[lo]).any():
-                    a, b = _across(sig[lo:hi], label[lo:hi], ids[lo:hi], lower, radius, narrow)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    found = _across(sig[lo:hi], label[lo:hi], ids[lo:hi], lower, radius, partners)
+                    if found:
+                        b, a = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                        more = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), region[lo])), pa.array(a), pa.array(b), pa.array(more)], names=["region", "a", "b", "more"])
 
     return run
 
@@ -153,26 +179,35 @@ def _across_task(lower: Lower, width: int, radius: float, narrow: bool):
 SAMPLE = 64
 
 
-def _paired(members: DataFrame, blocks, *others: str) -> DataFrame:
-    """Members of regions dealt as pairs of blocks: an id goes to every pair that its own block is in."""
-    own = F.pmod(F.xxhash64("id"), blocks)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("region", F.least(own, j), F.greatest(own, j)))
-    return members.select(F.explode(F.when(blocks == 1, F.array("region")).otherwise(pairs)).alias("region"), "id", *others)
+def _shared(members: DataFrame) -> DataFrame:
+    """Regions of two or more ids; of regions with the same ids, as the sums of three 32-bit hashes tell, only one."""
+    own = [F.sum(F.expr(f"xxhash64(id, {seed}) & 4294967295")).alias(f"h{seed}") for seed in (1, 2, 3)]
+    sizes = members.groupBy("region").agg(F.count("*").alias("n"), *own).where("n > 1")
+    return members.join(sizes.groupBy("n", "h1", "h2", "h3").agg(F.min("region").alias("region")).select("region"), "region")
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Regions of two or more ids."""
-    sizes = members.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    return _paired(members.join(sizes, "region"), F.ceil(F.col("n") / BLOCK))
+def _block(blocks):
+    return F.xxhash64("region", F.pmod(F.xxhash64("id"), blocks))
+
+
+def _dealt(seen: DataFrame, large: DataFrame) -> DataFrame:
+    """Large regions as blocks that all hold the smallest id of the region, which so is their first pivot."""
+    large = F.broadcast(large)  # a row for BLOCK ids at least
+    own = seen.join(large, "region", "left")
+    pivots = seen.join(large, "region").groupBy("region", "blocks").agg(F.min(F.struct("id", "sig")).alias("p"))
+    lent = pivots.select("region", F.col("p.id").alias("id"), F.col("p.sig").alias("sig"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    lent = lent.where(F.col("block") != F.pmod(F.xxhash64("id"), F.col("blocks"))).select(F.xxhash64("region", "block").alias("region"), "id", "sig")
+    return own.select(F.when(F.col("blocks").isNull(), F.col("region")).otherwise(_block(F.col("blocks"))).alias("region"), "id", "sig").union(lent)
 
 
-def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members that carry their signature, large regions split; their sizes are told by a sample of the ids."""
-    sample = members.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLE)) == 0)
-    large = scratch.write(sample.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > BLOCK), "large")
-    if large.isEmpty():
-        return members
-    return _paired(members.join(large, "region", "left"), F.ceil(F.coalesce(F.col("n") * SAMPLE, F.lit(1)) / BLOCK), "sig")
+def _left_of_large(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of large regions by block: an id of the region's largest component once, every other id in every block."""
+    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    counts = named.groupBy("region", "label").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("region", j))
+    places = F.when(F.col("label") == F.col("most"), F.array(_block(F.col("blocks")))).otherwise(every)
+    return named.join(F.broadcast(largest), "region").select(F.explode(places).alias("region"), "id", "sig", "label")  # a row for each large region
 
 
 def link(members: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], lower: Lower, width: int, radius: float, scratch: Scratch) -> DataFrame:
@@ -182,34 +217,45 @@ def link(members: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame]
     of `width` bytes); verify: from pairs (a, b) to those that link. lower(x, y) bounds the distances of rows of x to those
     of y (or to the only one) from below and is a metric itself.
     """
-    seen = _dealt(members.select("region", "id", "sig"), scratch) if "sig" in members.columns else _shared(members).join(signatures, "id").select("region", "id", "sig")
-    stars = scratch.write(seen.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_star_task(lower, width, radius), "region long, a long, b long, crossing boolean"), "stars")
+    seen = members.select("region", "id", "sig") if "sig" in members.columns else _shared(members).join(signatures, "id").select("region", "id", "sig")
+    sample = seen.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLE)) == 0).groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > BLOCK)
+    large = scratch.write(sample.select("region", F.ceil(F.col("n") * SAMPLE / BLOCK).alias("blocks")), "large")
+    split = not large.isEmpty()
+    dealt = _dealt(seen, large) if split else seen
+    stars = scratch.write(dealt.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_star_task(lower, width, radius), "region long, a long, b long, crossing boolean"), "stars")
     tried = scratch.write(stars.where("a <> b").select("a", "b").distinct(), "tried")
-    links = scratch.write(verify(tried).select("a", "b"), "links")
-    labels = components(links, scratch)
+    labels = components(links := scratch.write(verify(tried).select("a", "b"), "links"), scratch)
     failed = stars.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
     again = scratch.write(failed.where("crossing or coalesce(la, a) <> coalesce(lb, b)").select("region").distinct(), "revisited")
-    if again.isEmpty():
-        return labels
     # an id that is near none of its region is in no row of stars and need not come again
     near = stars.join(again, "region")
     near = near.select("region", F.col("a").alias("id")).union(near.select("region", F.col("b").alias("id"))).distinct()
     left = scratch.write(near.join(only(signatures, near.select("id"), "id"), "id").select("region", "id", "sig"), "again")
-    scratch.drop(stars)
-    visit = 0
-    while not left.isEmpty():
-        narrow = visit < NARROW
-        labelled = left.join(labels, "id", "left").select("region", "id", "sig", F.coalesce("label", "id").alias("label"))
-        found = labelled.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_across_task(lower, width, radius, narrow), "a long, b long").distinct()
-        new = scratch.write(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        visit += 1
-        if new.isEmpty():
-            if narrow:
-                visit = NARROW
-                continue
+    of_large = scratch.write(seen.join(F.broadcast(large), "region"), "members") if split else None
+    scratch.drop(stars, again, large)
+    partners = PARTNERS
+    while True:
+        rows = left.join(labels, "id", "left").select("region", "id", "sig", F.coalesce("label", "id").alias("label"))
+        rows = rows.union(_left_of_large(of_large, labels)) if split else rows
+        found = scratch.write(rows.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_across_task(lower, width, radius, partners), "region long, a long, b long, more boolean"), "found")
+        new = scratch.write(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        nothing, done = new.isEmpty(), found.where("more").isEmpty()
+        if nothing and done:
             break
-        more = scratch.write(verify(new).select("a", "b"), "links")
-        links, tried = links.union(more), tried.union(new)
-        if not more.isEmpty():
-            labels = components(links, scratch)
+        if not nothing:
+            more = scratch.write(verify(new).select("a", "b"), "links")
+            known = scratch.write(tried.union(new), "tried")
+            scratch.drop(tried, new)
+            tried = known
+            if not more.isEmpty():
+                # a link of components, so that each round works on labels and new links only
+                merged = scratch.write(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a <> b").union(more), "links")
+                scratch.drop(labels)
+                labels = components(merged, scratch)
+                scratch.drop(merged)
+            scratch.drop(more)
+        shrunk = scratch.write(left.join(found.select("region").distinct(), "region", "left_semi"), "again")
+        scratch.drop(left, found)
+        left, partners = shrunk, partners * 4
+    scratch.drop(left, found, new, tried, links, *([of_large] if split else []))
     return labels
