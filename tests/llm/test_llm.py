@@ -127,7 +127,7 @@ def test_lower_bounds_are_below_and_metric():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64)) for _ in range(20)]
     sets += [s[: max(1, len(s) - 3)] for s in sets]
-    sig = np.stack([np.bincount((s & textkit.U(63)).astype(int), minlength=64).astype("<u2").view(np.uint8) for s in sets])
+    sig = np.stack([jaccard_join.signature(s) for s in sets])
     d = np.array([jaccard_join.lower(sig, sig[i : i + 1]) for i in range(len(sets))])
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
@@ -161,6 +161,60 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain_distance(a, b)
 
 
+def test_bounds_of_the_edit_distance():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
+    for n in [*range(1, 40), 800]:
+        words = [word() for _ in range(n)]
+        other = [w for w in words if rng.random() > 0.05] + [word() for _ in range(rng.randrange(3))]
+        for _ in range(rng.randrange(4)):
+            other[rng.randrange(len(other)) if other else 0 :][:1] = [word()]
+        a, b = " ".join(words), " ".join(other)
+        distance = plain_distance(a, b) if n < 40 else line_dedup.edit_distance(a, b)
+        assert line_dedup.least_distance(a, b) <= distance <= line_dedup.most_distance(a, b)
+        assert line_dedup.similar(a, b, 90) == (10 * (max(len(a), len(b)) - distance) >= 9 * max(len(a), len(b)))
+    long = " ".join(str(i) for i in range(200_000))  # 1.3 MB
+    assert line_dedup.similar(long, long.replace(" 777 ", " x ").replace(" 150000", ""), 90)
+    assert not line_dedup.similar(long, " ".join(f"w{i:x}" for i in range(190_000)), 90)
+
+
+def edited(rng, line, vocabulary, how):
+    """A line with one letter changed, one word, or words up to an edit similarity of 0.9."""
+    if how == "letter":
+        at = rng.choice([i for i, c in enumerate(line) if c != " "])
+        return line[:at] + rng.choice("qxz") + line[at + 1 :]
+    while True:
+        words = line.split()
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        new = " ".join(words)
+        if how == "word":
+            return new
+        if not line_dedup.similar(line, new, 90) or rng.random() < 0.1:
+            return line
+        line = new
+
+
+@pytest.mark.parametrize("how", ["letter", "word", "words"])
+@pytest.mark.parametrize("size", [(10, 20), (20, 60), (60, 120), (120, 250), (250, 600)])
+def test_recall_of_edited_lines(how, size):
+    rng = random.Random(size[0])
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randrange(2, 10))) for _ in range(600)]
+    pairs = []
+    while len(pairs) < 100:
+        line = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(size[0] // 8 + 1, size[1] // 5)))
+        other = edited(rng, line, vocabulary, how)
+        if how == "words" and other == line:
+            other = edited(rng, line, vocabulary, "word")
+        if not size[0] <= len(line) < size[1] or (other != line and not line_dedup.similar(line, other, 90)):
+            continue
+        pairs.append((line, other))
+    texts = [t for p in pairs for t in p]
+    out = list(line_dedup._line_task(90)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])])))[0]
+    sig, meet = textkit.matrix(out.column("sig"), line_dedup.WIDTH), out.column("meet").to_pylist()
+    found = [bool(set(meet[i]) & set(meet[i + 1])) and line_dedup.apart(sig[i : i + 1], sig[i + 1 : i + 2], 90)[0] <= line_dedup.RADIUS for i in range(0, len(texts), 2)]
+    assert np.mean(found) >= 0.9
+
+
 def test_line_dedup_equals_brute_force(spark, empty):
     rng = random.Random(6)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) + str(rng.randrange(40)) for _ in range(rng.randrange(3, 60))) for _ in range(60)]
@@ -180,23 +234,17 @@ def test_line_dedup_equals_brute_force(spark, empty):
     def norm(line):
         return line_dedup.normalised(line.encode()).decode()
 
-    def print_of(text):
-        words = textkit.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), textkit.ALNUM)[0]
-        pairs = [textkit.mix(words[i : i + 1] * textkit.U(0x9FB21C651E98DF25) + words[i + 1 : i + 2]) for i in range(len(words) - 1)]
-        return np.packbits(2 * np.unpackbits(np.concatenate(pairs).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=int) > len(pairs))
-
     occurrences = {}
     for d, t in sorted({(d, t) for d, t in rows if d is not None and t}):
         for k, line in enumerate(t.split("\n")):
-            if len(norm(line).split()) >= line_dedup.MIN_WORDS:
+            if norm(line):
                 occurrences.setdefault(norm(line), []).append((d, k))
     names = sorted(occurrences)
-    prints = [print_of(n) for n in names]
     pairs = []
     for i in range(len(names)):
         for j in range(i):
             longest = max(len(names[i]), len(names[j]))
-            if simhash.hamming(prints[i][None], prints[j][None])[0] <= line_dedup.RADIUS and 100 * (longest - plain_distance(names[i], names[j])) >= 90 * longest:
+            if 100 * (longest - line_dedup.edit_distance(names[i], names[j])) >= 90 * longest:
                 pairs.append((i, j))
     assert pairs
     group = union_find(range(len(names)), pairs)
@@ -209,7 +257,7 @@ def test_line_dedup_equals_brute_force(spark, empty):
             assert got[d].text == t and got[d].n_removed == 0
         else:
             lines = t.split("\n")
-            stay = [line for k, line in enumerate(lines) if len(norm(line).split()) < line_dedup.MIN_WORDS or (d, k) in keep]
+            stay = [line for k, line in enumerate(lines) if not norm(line) or (d, k) in keep]
             assert (got[d].text, got[d].n_lines, got[d].n_removed) == ("\n".join(stay), len(lines), len(lines) - len(stay))
     assert line_dedup.drop_repeated_lines(spark, empty).count() == 0
 
