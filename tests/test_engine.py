@@ -16,7 +16,7 @@ from parley.sources import datasets
 DAY1 = datetime.date(2025, 6, 8)
 
 
-@pytest.mark.parametrize("text, days", [("第5天到第7天", [5, 6, 7]), ("第3-4天", [3, 4]), ("最近3天", [98, 99, 100]), ("上周", list(range(94, 101))), ("第12天怎么了", [12]), ("2025年6月9日", [2]), ("6月9日到6月11日", [2, 3, 4]), ("2025-06-10", [3]), ("hello", []), ("第900天", [])])
+@pytest.mark.parametrize("text, days", [("第5天到第7天", [5, 6, 7]), ("第3-4天", [3, 4]), ("最近3天", [98, 99, 100]), ("上周", list(range(94, 101))), ("第12天怎么了", [12]), ("2025年6月9日", [2]), ("6月9日到6月11日", [2, 3, 4]), ("2025-06-10", [3]), ("hello", []), ("第900天", []), ("6月9日至11日", [2, 3, 4]), ("2025-06-09 ~ 2025-06-10", [2, 3]), ("最近2周", list(range(87, 101))), ("最近一个月", list(range(71, 101))), ("上个月", list(range(71, 101))), ("最后两周", list(range(87, 101))), ("最近1个月和第3天", list(range(71, 101))), ("第7天到第5天", [5, 7]), ("第3天 和 2025年6月9日", [3]), ("6月31日", []), ("2月", []), ("第95天到第200天", list(range(95, 131))), ("最近", [])])
 def test_query_days(text, days):
     assert dates.query_days(text, DAY1, 100) == days
 
