@@ -58,7 +58,7 @@ def iban_check(country: str, account: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in account + country) + "00") % 97
 
 
-def _radix(text: str, key: bytes, tweak: str, back: bool, fixed_first: bool = False) -> str:
+def _radix(text: str, key: bytes, tweak: str, back: bool) -> str:
     """Permute the letters and digits of a text, each within its own class; everything else stays in place."""
     classes = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text if c.isascii() and c.isalnum()]
     letters = [c for c in text if c.isascii() and c.isalnum()]
@@ -119,8 +119,10 @@ def _ip(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _email(text: str, key: bytes, back: bool) -> str | None:
+    """Addresses that differ in case only get pseudonyms that differ in case only."""
     head, _, top = text.rpartition(".")
-    return f"{_radix(head, key, 'mail', back)}.{top}"
+    new = _radix(head.lower(), key, "mail", back)
+    return f"{''.join(n.upper() if c.isupper() else n for n, c in zip(new, head))}.{top}"
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
@@ -132,7 +134,17 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
     return _spread(text, digits[:keep] + body)
 
 
+def _date_class(at: int) -> tuple[bool, bool, bool]:
+    day = datetime.date.fromordinal(at + _EPOCH)
+    return day.month > 9, day.day > 9, day.day > 12
+
+
 def _date(text: str, key: bytes, back: bool) -> str | None:
+    """A date is permuted as a day, whatever the form it is written in, among the days that all forms write alike.
+
+    These have as many digits in month and day; and days after the twelfth stay so, as only they can be read with the
+    month first.
+    """
     parts, marks = re.split(r"[-/.]", text), re.findall(r"[-/.]", text)
     first = len(parts[0]) == 4  # the year comes first
     year, month, day = (int(parts[i]) for i in ((0, 1, 2) if first else (2, 1, 0)))
@@ -145,15 +157,15 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
         return None
     if not 0 <= at < _DAYS:
         return None
-    # day first and month first cannot be told apart when both are 12 or less: stay in the form that was read
-    tweak = "date" if first else "datemdy" if swapped else "datedmy"
+    kind = _date_class(at)
     while True:
-        at = permute(at, _DAYS, key, tweak, back)
-        new = datetime.date.fromordinal(at + _EPOCH)
-        fields = [new.year, new.month, new.day] if first else [new.month, new.day, new.year] if swapped else [new.day, new.month, new.year]
-        out = [str(f).zfill(len(p)) for f, p in zip(fields, parts)]
-        if all(len(o) == len(p) for o, p in zip(out, parts)) and (not swapped or new.day > 12):
-            return out[0] + marks[0] + out[1] + marks[1] + out[2]
+        at = permute(at, _DAYS, key, "date", back)
+        if _date_class(at) == kind:
+            break
+    new = datetime.date.fromordinal(at + _EPOCH)
+    fields = [new.year, new.month, new.day] if first else [new.month, new.day, new.year] if swapped else [new.day, new.month, new.year]
+    out = [str(f).zfill(len(p)) for f, p in zip(fields, parts)]
+    return out[0] + marks[0] + out[1] + marks[1] + out[2]
 
 
 def _secret(text: str, key: bytes, back: bool) -> str | None:
@@ -162,15 +174,16 @@ def _secret(text: str, key: bytes, back: bool) -> str | None:
         return None
     value = int(text, 16)
     while True:
-        value = permute(value, 16**size, key, f"hex{size}{upper}", back)
+        value = permute(value, 16**size, key, f"hex{size}", back)
         out = f"{value:0{size}x}"
         if not out.isdigit() and not out.isalpha():  # stay in the form that is read as a secret
             return out.upper() if upper else out
 
 
-#: Kinds in the order they are tried; a text position belongs to the first that matches and validates.
+#: Kinds in the order they are tried; a text position belongs to the first that matches and validates. All lengths are
+#: bounded (those of e-mail addresses by their standard), so that a text without white space is read in linear time.
 KINDS = {
-    "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    "email": (r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}", _email),
     "secret": (r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])", _secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", _iban),
     "date": (r"(?<![\d.])(?:(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d)(?![\d])", _date),
@@ -272,10 +285,12 @@ def _task(key: bytes):
     return run
 
 
-def pseudonymise_texts(spark: SparkSession, docs: DataFrame, key: bytes = b"parley") -> DataFrame:
+def pseudonymise_texts(spark: SparkSession, docs: DataFrame, key: bytes) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, text with pseudonyms, n_found, kinds (sorted, comma-joined).
 
     Null texts stay null with n_found 0; texts without a validated value come back unchanged. Repeated rows and null
-    doc_ids give a row each; further columns are ignored. Nothing is shuffled. Pass a secret key in production.
+    doc_ids give a row each; further columns are ignored. Nothing is shuffled. Values do not overlap: the one that starts
+    first counts, of those that start together the first kind, and the search goes on behind it. The key is a secret of
+    the caller; with it the pseudonyms can be undone.
     """
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_task(key), "doc_id long, text string, n_found long, kinds string")

@@ -11,6 +11,8 @@ from parley.llm import ann, bpe, jaccard_join, lattice_lm, licenses, line_dedup,
 #: Files of public tokenizers; a path every executor has.
 BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
 PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
+#: A key for these synthetic tables only, so that reruns agree; real data need a secret one.
+PII_KEY = b"key of the synthetic tables"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,7 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its personal data under pseudonyms."""
-    return pii.pseudonymise_texts(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_found", "kinds", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return pii.pseudonymise_texts(spark, _table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_found", "kinds", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

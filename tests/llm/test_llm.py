@@ -373,6 +373,52 @@ def test_permutation(size):
 PERSONAL = ["4539 1488 0343 6467", "4539148803436467", "jane.doe7@mail.example.org", "10.200.3.4", "+1 (743) 555-3824", "(212) 555-0199", "123-45-6789", "2024-02-29", "31/12/1999", "12/31/1999", "DE89 3704 0044 0532 0130 00", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"]
 
 
+def test_pseudonyms_link_equal_values():
+    one = lambda t: pii.pseudonymise(t, b"k")[0]
+    for y, m, d in [(2020, 3, 25), (1999, 12, 31), (2001, 2, 13), (2024, 10, 11), (1950, 1, 2)]:
+        new = one(f"{y}-{m:02}-{d:02}").split("-")
+        assert one(f"{d:02}/{m:02}/{y}").split("/") == new[::-1]
+        assert one(f"{d:02}.{m:02}.{y}").split(".") == new[::-1]
+        assert [int(x) for x in one(f"{y}-{m}-{d}").split("-")] == [int(x) for x in new] and len(one(f"{y}-{m}-{d}")) == len(f"{y}-{m}-{d}")
+        if d > 12:
+            assert one(f"{m:02}/{d:02}/{y}").split("/") == [new[1], new[2], new[0]]
+    assert one("Jane.Doe@mail.org").lower() == one("jane.doe@mail.org") and one("Jane.Doe@mail.org")[0].isupper()
+    assert one("+1 (743) 555-3824").translate({ord(c): None for c in " ()-"}) == one("+17435553824")
+
+
+def test_values_are_found_like_by_trying_every_place():
+    rng = random.Random(11)
+    bits = [*PERSONAL, "+4111111111111111", "DE12 4111 1111 1111 1111", "4539 1488 0343 6467 456", "1.2.3", "12-34", "a@b", "x", "AT61", "2024-13-01", "999-99", "@", "+", "(", "12345678901234567890"]
+    for _ in range(300):
+        text = rng.choice(["", " ", "x"]).join(rng.choice(bits) + rng.choice(["", " ", ", ", "-"]) for _ in range(rng.randrange(1, 5)))
+        want, at = [], 0
+        while at < len(text):
+            hit = None
+            for kind, (pattern, change) in pii.KINDS.items():
+                whole = re.compile(pattern, re.ASCII).match(text, at)
+                ends = range(whole.end(), at, -1) if whole and kind in pii.GROUPED else [whole.end()] if whole else []
+                for end in ends:
+                    inside = end == whole.end() or text[end] in " .-" and re.compile(pattern, re.ASCII).fullmatch(text, at, end)
+                    if inside and change(text[at:end], b"k", False) is not None:
+                        hit = (at, end, kind)
+                        break
+                if hit:
+                    break
+            want += [hit] if hit else []
+            at = hit[1] if hit else at + 1
+        assert [v[:3] for v in pii._read(text, 0, b"k", False)] == want, text
+    assert pii.pseudonymise("+4111111111111111", b"k")[1] == pii.pseudonymise("DE12 4111 1111 1111 1111", b"k")[1] == ["card"]
+
+
+@pytest.mark.parametrize("text", ["aB3" * 350_000, "a.b-" * 250_000, "12 " * 60_000, "AB12 " * 40_000, "x@" * 400_000, "1.2." * 200_000])
+def test_long_texts_are_read_in_linear_time(text):
+    import time
+
+    start = time.process_time()
+    pii.pseudonymise(text, b"k")
+    assert time.process_time() - start < 30
+
+
 @pytest.mark.parametrize("value", PERSONAL)
 def test_pseudonyms_keep_their_format(value):
     text, kinds = pii.pseudonymise(f"see {value}, twice {value}.", b"k")
@@ -402,11 +448,11 @@ def test_values_beside_other_groups(value, after, kind, before):
 
 def test_pii_table(spark, docs, rows, empty):
     extra = spark.createDataFrame([(1, "call +1 (743) 555-3824", "x"), (2, None, "x"), (3, "", "x"), (None, "10.0.0.1", "x")], "doc_id long, text string, kinds string")
-    got = {r.doc_id: r for r in pii.pseudonymise_texts(spark, extra).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise_texts(spark, extra, b"k").collect()}
     assert got[1].kinds == "phone" and got[1].n_found == 1 and got[2].text is None and got[3].text == "" and got[None].kinds == "ip"
-    clean = Counter((r.doc_id, r.text) for r in pii.pseudonymise_texts(spark, docs).collect())
+    clean = Counter((r.doc_id, r.text) for r in pii.pseudonymise_texts(spark, docs, b"k").collect())
     assert clean == Counter((r[0], r[1]) for r in rows)
-    assert pii.pseudonymise_texts(spark, empty).count() == 0
+    assert pii.pseudonymise_texts(spark, empty, b"k").count() == 0
 
 
 def test_mixing(spark, docs, rows, empty):
