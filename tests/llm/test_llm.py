@@ -621,12 +621,34 @@ def test_grammar_readings():
     def read(text):
         return g.features(pa.array([text]))[0]
 
-    plain, directed, negated, reported = (read(t) for t in ("an idiot came", "you are an idiot", "he was in town and not an idiot", "she said that some idiot came"))
-    assert plain[0] == 3 and directed[1] == 3 and negated[2] == 3 and reported[3] == 3
+    plain, directed, negated, reported, threat = (read(t) for t in ("an idiot came", "you are an idiot", "the town was not an idiot", "Mary said that some idiot came", "I will kill you"))
+    assert plain[0] == 3 and directed[1] == 3 and negated[2] == 3 and reported[3] == 3 and threat[4] == toxicity.THREAT
+    for text in ("that isn't an idiot", "that isn’t an idiot", "NINGÚN idiot", "Ningún idiot"):
+        assert read(text)[2] == 3 and read(text)[0] == 0
     assert read("she said so. An idiot came")[0] == 3  # reported speech ends with its clause
     assert not read("clean words").any() and not g.features(pa.array([None, ""])).any()
 
 
+def test_clause_machine_equals_all_paths():
+    """The compiled machine against the rules read off the clause, and against every path through the single transducers."""
+    rng, machine, grammar = random.Random(9), toxicity.Machine(toxicity.clause_grammar()), toxicity.clause_grammar()
+    names, scope = list(toxicity.READINGS), toxicity.SCOPE
+    for _ in range(400):
+        clause = [rng.choice(["other", "other", *toxicity.SYMBOLS]) for _ in range(rng.randrange(1, 10))]
+        weights = [rng.random() + 0.1 if s in ("insult", "threat") else 0.0 for s in clause]
+        want = []
+        for i, s in enumerate(clause):
+            if s in ("insult", "threat"):
+                near = lambda kind, behind: any(t == kind and 0 < i - j <= scope or behind and t == kind and 0 < j - i <= scope for j, t in enumerate(clause))  # noqa: B023, E731
+                reading = "reported" if "report" in clause[:i] else "negated" if near("negation", False) else "plain" if not near("target", True) else "threat" if s == "threat" and near("future", False) else "directed"
+                want.append((names.index(reading), weights[i]))
+        assert machine.read([(toxicity.SYMBOLS.index(s), w) for s, w in zip(clause, weights)]) == want
+        paths = [(grammar.start, 0.0)]
+        for s, w in zip(clause, weights):
+            paths = [(to, score + w * toxicity.READINGS.get(written, 0)) for state, score in paths for written, to in grammar.arcs.get((state, s), [])]
+        assert max(score for state, score in paths if state in grammar.final) == pytest.approx(sum(w * toxicity.READINGS[names[r]] for r, w in want))
+
+
 def test_toxicity(spark, sf, empty):
     folder = sf.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -636,7 +658,7 @@ def test_toxicity(spark, sf, empty):
     caught = [r.score >= 0.5 for r in scored if r.toxic == 1]
     assert right / len(scored) >= 0.97 and sum(caught) / len(caught) >= 0.85
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (1, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
-    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(spark, odd, grammar).collect())
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(spark, odd, grammar, odd.columns).collect())
     none = toxicity.learn(spark, empty, labels.where("false"))
     assert toxicity.score_toxicity(spark, odd, none).count() == 4 and toxicity.score_toxicity(spark, empty, none).count() == 0
 
