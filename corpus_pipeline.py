@@ -1,57 +1,3 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next one.
+"""The corpus pipeline: its stages, their SQL, and the run over all of them; see parley.llm.pipeline."""
 
-Each stage works on what its predecessor kept; all but the last return the columns of documents.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from parley.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
-from parley.llm.queries import BPE_FILE
-from parley.llm.scratch import Scratch
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below one half; learned from the labels of documents outside the held-out fold."""
-    grammar = toxicity.learn(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(spark, docs, grammar, docs.columns).where("score < 0.5").drop("score")
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; those of which nothing is left go. n_chars follows the text."""
-    out = line_dedup.drop_repeated_lines(spark, docs).where(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike("\\S"))
-    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles."""
-    return jaccard_join.keep_one(spark, docs, n=5, percent=80)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document as often as the mix takes it."""
-    out = mixing.mix(spark, docs)
-    return out.where("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text and the text decoded from them, as digests."""
-    return bpe.encode_texts(spark, docs, BPE_FILE, keep=False)
-
-
-STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix_sources), ("BPE", encode)]
-
-#: SQL expresses neither the learned grammar nor the fuzzy groups; tests compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+from parley.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
