@@ -84,13 +84,24 @@ def spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes, from which the hash of any span follows."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    terms = _RANDOM[data]
+    terms *= _power("up", _BASE, len(data))
+    np.cumsum(terms, out=sums[1:])
+    return sums
+
+
+def summed_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes behind `sums`, wherever it stands."""
+    value = (sums[ends] - sums[starts]) * _power("down", _INVERSE, len(sums))[starts]
+    return mix(value + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: a polynomial over prefix sums, so the cost is per byte, not per span."""
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_RANDOM[data] * _power("up", _BASE, n), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power("down", _INVERSE, n + 1)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    return summed_hashes(byte_sums(data), starts, ends)
 
 
 def hash_bytes(word: bytes) -> int:
