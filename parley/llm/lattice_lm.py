@@ -275,6 +275,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fold
     end_lp = float(np.log10((ends - DISCOUNT) / total)) if ends else 0.0
     keys = heavy.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
+    scratch.close(words)
     table = spark.sparkContext.broadcast((keys[order], heavy.column("c").to_numpy()[order], heavy.column("lp").to_numpy()[order]))
     schema = "rid long, h long, tf long, s struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, lp: double>"
     rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score_task(table, total, kinds, ends, end_lp), schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parley.llm.scratch import Scratch
 
 #: Histogram bits of each refinement; HASH_BITS in all.
-STEP_BITS, HASH_BITS = 10, 60
+STEP_BITS, HASH_BITS = 20, 60
 
 
 def word_count(text: str) -> Column:
@@ -77,6 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: list[float] = (1, 2, 3),
     final = plan.join(budget.drop("left"), F.col("source").eqNullSafe(F.col("s")), "left").join(limit, F.col("source").eqNullSafe(F.col("s2")), "left")
     everything = F.lit(1 << HASH_BITS).cast("long")
     final = scratch.write(final.select(F.col("source").alias("__s"), "source_size", "target", F.coalesce("whole", F.lit(0)).alias("__whole"), F.when(F.col("whole").isNull(), F.lit(0)).otherwise(F.coalesce("limit", everything)).cast("long").alias("__limit")), "plan")
+    scratch.close(final)
     taken = docs.withColumn("size", size).join(final, F.col("source").eqNullSafe(F.col("__s")))
     repeats = F.least(F.floor(F.lit(most)).cast("long"), F.col("__whole") + F.when(document_hash("doc_id") < F.col("__limit"), 1).otherwise(0))
     return taken.withColumn("repeats", repeats).drop("__s", "__whole", "__limit")

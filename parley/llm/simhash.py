@@ -21,15 +21,24 @@ from parley.llm.voronoi import link
 
 BITS = 256
 WIDTH = BITS // 8
+#: Bytes of text of a range of documents that one task edits, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
 _SEEDS = [T.U(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+#: Terms whose votes are added at once: weights are far below 2^9, so sums of a slice are exact in single precision.
+_SLICE = 1 << 15
+
+
 def votes(terms: np.ndarray, weights: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Packed signs of the weighted votes of term hashes; a tie or no term gives 0. Integer weights keep sums exact."""
-    signs = np.concatenate([T.mix(terms ^ s).view(np.uint8).reshape(-1, 8) for s in _SEEDS[: bits // 64]], axis=1)
-    total = weights.astype(np.float32) @ np.unpackbits(signs, axis=1).astype(np.float32)
-    return np.packbits(2 * total > weights.sum())
+    """Packed signs of the weighted votes of term hashes; a tie or no term gives 0. Sums of integer weights are exact."""
+    total = np.zeros(bits, np.int64)
+    for lo in range(0, len(terms), _SLICE):
+        part = terms[lo : lo + _SLICE]
+        signs = np.concatenate([T.mix(part ^ s).view(np.uint8).reshape(-1, 8) for s in _SEEDS[: bits // 64]], axis=1)
+        total += (weights[lo : lo + _SLICE].astype(np.float32) @ np.unpackbits(signs, axis=1).astype(np.float32)).astype(np.int64)
+    return np.packbits(2 * total > int(weights.sum()))
 
 
 def fingerprint(words: np.ndarray) -> np.ndarray:
@@ -119,6 +128,33 @@ def _edit_task(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.float64(), pa.float64()))], names=["doc_id", "n_chars", "edited_sha256", "sig", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _ranges(docs: DataFrame, column: str, size: int) -> list[float]:
+    """Borders that cut `docs` by a column (nulls before all) into ranges of about `size` bytes of text; equal values stay together."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = int(min(MOST_RANGES, max(1, total // size)))
+    at = docs.agg(F.percentile_approx(column, [i / (4 * parts) for i in range(1, 4 * parts)], 10_000)).first()[0] or []
+    fine = [-float("inf"), *sorted(set(at) or {0.0}), float("inf")]
+    placed = Bucketizer(splits=fine, inputCol=column, outputCol="b").transform(docs.select(F.coalesce(column, F.lit(float("-inf"))).alias(column), "text"))
+    bytes_of = dict(placed.groupBy(F.col("b").cast("int")).agg(F.sum(F.octet_length("text").cast("long"))).collect())  # a row per range
+    borders, held = [], 0
+    for b, border in enumerate(fine[1:-1]):
+        held += bytes_of.get(b, 0)
+        if held >= total / parts:
+            borders.append(border)
+            held = 0
+    return [-float("inf"), *(borders or [fine[1]]), float("inf")]
+
+
+def _keys_of_partitions(spark: SparkSession, parts: int) -> list[int]:
+    """An integer for each partition number, which `repartition` on it sends there, so that no two ranges share a task."""
+    n = 64 * parts
+    while True:
+        found = dict(spark.range(n).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(parts))).agg(F.min("k")).collect())
+        if len(found) == parts:
+            return [found[i] for i in range(parts)]
+        n *= 4
+
+
 def edited_neighbours(spark: SparkSession, docs: DataFrame, radius: int = 7) -> DataFrame:
     """One row per row of `docs` (doc_id, text) in the order (doc_id, text), each with its text edited by the next one's start.
 
@@ -131,11 +167,9 @@ def edited_neighbours(spark: SparkSession, docs: DataFrame, radius: int = 7) ->
     """
     scratch = Scratch(spark, "simhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # ranges: null ids in the first; cast to double keeps the order, equal doubles stay together
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(at) or {0.0}), float("inf")]
+    # null ids come first; cast to double keeps the order
     place = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
+    splits = _ranges(place.withColumn("place", F.col("doc_id").cast("double")), "place", RANGE_BYTES)
     dealt = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(place).withColumn("bucket", F.col("bucket").cast("int"))
     # the first row of each range: as many rows as ranges; -inf stands for null ids
     firsts = dealt.groupBy("bucket").agg(F.min("place").alias("p")).orderBy("bucket").collect()
@@ -145,8 +179,11 @@ def edited_neighbours(spark: SparkSession, docs: DataFrame, radius: int = 7) ->
     heads = spark.createDataFrame([(r.bucket, r.p, before[r.bucket]) for r in firsts], "bucket int, place double, lent int")
     least = dealt.join(F.broadcast(heads), ["bucket", "place"]).groupBy("bucket", "lent").agg(F.min(F.struct("doc_id", "text")).alias("row"))
     lent = least.select(F.col("lent").alias("bucket"), F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.lit(True).alias("tail"))
+    parts = len(splits) - 1
+    keys = F.array(*[F.lit(k) for k in _keys_of_partitions(spark, parts)])
     rows = dealt.select("bucket", "doc_id", "text", F.lit(False).alias("tail")).union(lent)
-    sorted_rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    sorted_rows = rows.withColumn("k", F.element_at(keys, F.col("bucket") + 1)).repartition(parts, "k").drop("k").sortWithinPartitions("bucket", "tail", "doc_id", "text")
     done = scratch.write(sorted_rows.mapInArrow(_edit_task, "doc_id long, n_chars long, edited_sha256 string, sig binary, edited_fingerprint string, near_edited double, near_next double"), "prints")
-    near = near_classes(done.select("doc_id", "sig"), radius, scratch)
+    near = scratch.write(near_classes(done.select("doc_id", "sig"), radius, scratch), "near")
+    scratch.close(done, near)
     return done.join(near, "doc_id", "left").select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("sig")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "near_id")

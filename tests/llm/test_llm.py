@@ -159,6 +159,17 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 14))) for _ in range(2))
         assert line_dedup.edit_distance(a, b) == plain_distance(a, b)
+    pairs = [tuple("".join(rng.choice("abcé字") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130, 300]))) for _ in range(2)) for _ in range(60)]
+    pairs += [(a, a[:k] + "x" + a[k + 1 :]) for a, _ in pairs for k in (0, len(a) // 2)]
+    pairs += [(a, "".join(c for c in a if rng.random() > 0.03)) for a, _ in pairs for _ in range(3)]
+    want = [line_dedup.edit_distance(a, b) for a, b in pairs]
+    assert (line_dedup.least_distances(*map(list, zip(*pairs))) <= want).all() and line_dedup.least_distances(["ab"], ["ab"]) == [0]
+    assert line_dedup.all_similar(*map(list, zip(*pairs)), 90).tolist() == [10 * (max(len(a), len(b)) - w) >= 9 * max(len(a), len(b)) for (a, b), w in zip(pairs, want)]
+    assert line_dedup.edit_distances(*map(list, zip(*pairs)), [10**6] * len(pairs)).tolist() == want
+    for share in (0.02, 0.1, 0.3):
+        limits = [int(share * max(len(a), len(b))) for a, b in pairs]
+        got = line_dedup.edit_distances(*map(list, zip(*pairs)), limits)
+        assert [g if g <= k else None for g, k in zip(got, limits)] == [w if w <= k else None for w, k in zip(want, limits)]
 
 
 def test_bounds_of_the_edit_distance():
@@ -665,6 +676,7 @@ def test_toxicity(spark, sf, empty):
 
 def test_pipeline(spark, sf):
     import corpus_pipeline
+    from parley.llm import pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
@@ -676,7 +688,7 @@ def test_pipeline(spark, sf):
     toxic = spark.read.parquet(f"{sf}/documents.parquet").count() - kept["toxicity"]
     assert 0 < toxic < 60 and kept["line dedup"] <= kept["toxicity"] and kept["n-gram Jaccard join"] <= kept["line dedup"]
     labelled = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0")
-    clean = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).join(labelled, "doc_id").count()
+    clean = pipeline.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).join(labelled, "doc_id").count()
     assert clean >= 0.95 * labelled.count()
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == kept["mixing"]
