@@ -5,7 +5,7 @@ exceeds the true one. In a region the first id is a pivot; ids within the radius
 between one and two radii are the boundary that may link across cells, ids beyond two radii cannot link into the cell.
 The rest is divided again with the next pivot. Each id is first verified against its pivot only. Where a verification
 fails, or a boundary id is near a cell's members, the region is visited again: an id of a smaller component is verified
-with the nearest members of the larger ones, four at first and four times as many in each further visit, until no pair
+with the nearest members of the larger ones, four at first and sixteen times as many in each further visit, until no pair
 of different components is left that may link. So components are exact, yet a group of g mutual copies costs g
 verifications, and what is emitted grows with the ids that are outside the largest component of their region.
 Regions of more than BLOCK ids are dealt as blocks that share the region's pivot; then only the ids outside the region's
@@ -27,7 +27,7 @@ from parley.llm.scratch import Scratch, only
 
 #: A region with more ids is dealt as blocks of about this many.
 BLOCK = 20_000
-#: Partners an id is verified with in the first visit of a region; each further visit takes four times as many.
+#: Partners an id is verified with in the first visit of a region; each further visit takes sixteen times as many.
 PARTNERS = 4
 #: Pivots taken from each region before it is left to the visits.
 ROUNDS = 64
@@ -256,6 +256,6 @@ def link(members: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame]
             scratch.drop(more)
         shrunk = scratch.write(left.join(found.select("region").distinct(), "region", "left_semi"), "again")
         scratch.drop(left, found)
-        left, partners = shrunk, partners * 4
+        left, partners = shrunk, partners * 16
     scratch.drop(left, found, new, tried, links, *([of_large] if split else []))
     return labels
