@@ -129,5 +129,5 @@ def resolve_spans(spans: str) -> Column:
 
 def dedupe_by_prefix(items: str, chars: int, most: int) -> Column:
     """Array items of which no earlier one has the same first characters, at most `most`."""
-    heads = F.transform(F.col(items), lambda x: F.left(x, F.lit(chars)))
-    return F.slice(F.filter(F.col(items), lambda x, i: F.array_position(heads, F.left(x, F.lit(chars))) == i + 1), 1, most)
+    head = lambda x: F.left(x, F.lit(chars))
+    return F.aggregate(F.col(items), F.array().cast("array<string>"), lambda kept, x: F.when((F.size(kept) < most) & ~F.exists(kept, lambda y: head(y) == head(x)), F.concat(kept, F.array(x))).otherwise(kept))

@@ -130,16 +130,20 @@ def risk_level(text: Column | str, tiers: dict[str, list[str]]) -> Column:
     return first_label(text, tiers, "NONE")
 
 
-def crisis(text: Column | str, exact: dict[str, list[str]], near: list[str], selves: list[str], false_positives: list[str]) -> Column:
-    """RED, ORANGE, YELLOW or GREEN: words by tier, first-person words close before a word count as ORANGE; a known
-    harmless phrase lowers RED and ORANGE by one level."""
+def crisis(text: Column | str, exact: dict[str, list[str]], personal: dict[str, list[str]], selves: list[str], false_positives: list[str], reach: int = 4) -> Column:
+    """RED, ORANGE, YELLOW or GREEN: the severest tier of which a word occurs.
+
+    Words of `personal` count with a first-person word at most `reach` characters before them; a known harmless phrase
+    lowers RED and ORANGE by one level.
+    """
     from parley.functions.text import _any, contains_any
 
     t = F.coalesce(col(text), F.lit(""))
     level = F.lit(0)
-    for tier, n in (("YELLOW", 1), ("ORANGE", 2), ("RED", 3)):
-        level = F.when(contains_any(t, exact.get(tier, [])), F.lit(n)).otherwise(level)
-    if near:
-        level = F.greatest(level, F.when(t.rlike(f"({_any(selves)}).{{0,4}}({_any(near)})"), 2).otherwise(0))
+    for n, tier in enumerate(("YELLOW", "ORANGE", "RED"), 1):
+        hit = contains_any(t, exact.get(tier, []))
+        if personal.get(tier) and selves:
+            hit = hit | t.rlike(f"({_any(selves)}).{{0,{reach}}}({_any(personal[tier])})")
+        level = F.when(hit, F.lit(n)).otherwise(level)
     level = F.when((level >= 2) & contains_any(t, false_positives), level - 1).otherwise(level)
     return F.element_at(F.array(*[F.lit(x) for x in ("GREEN", "YELLOW", "ORANGE", "RED")]), level + 1)

@@ -218,19 +218,22 @@ def map_codes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", messages.map_code("lang", {"en": "English", "de": "German"}, "other").alias("language"))
 
 
-@query("""WITH k AS (SELECT doc_id, list_transform(string_split(text, ' ')[1:6], lambda x: trim(x)) AS a, list_transform(string_split(text, ' ')[4:9], lambda x: trim(x)) AS b FROM documents), c AS (SELECT doc_id, list_filter(list_concat(a, b), lambda x: x <> '') AS c FROM k)
-SELECT doc_id, list_filter(c, lambda x, i: list_position(c, x) = i)[1:4] AS merged FROM c""")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), f AS (SELECT doc_id, trim(w) AS w, min(i) AS i FROM w WHERE trim(w) <> '' GROUP BY doc_id, trim(w)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
+SELECT doc_id, coalesce(l, []) AS merged FROM documents LEFT JOIN (SELECT doc_id, list(w ORDER BY i) AS l FROM r WHERE r <= 40 GROUP BY doc_id) USING (doc_id)""")
 def merge_lists(spark, sf_dir):
-    """Union of two lists in order, without repeats, four at most."""
-    d = table(spark, sf_dir, "documents").withColumn("w", F.split("text", " ")).select("doc_id", F.slice("w", 1, 6).alias("a"), F.slice("w", 4, 6).alias("b"))
-    return d.select("doc_id", joins.merge_lists("a", "b", 4).alias("merged"))
+    """Union of two overlapping lists in order, without repeats, forty at most."""
+    d = table(spark, sf_dir, "documents").withColumn("w", F.split(F.coalesce("text", F.lit("")), " ")).withColumn("n", F.size("w"))
+    third = F.floor(F.col("n") / 3).cast("int")
+    d = d.select("doc_id", F.slice("w", F.lit(1), F.col("n") - third).alias("a"), F.slice("w", third + 1, F.col("n") - third).alias("b"))
+    return d.select("doc_id", joins.merge_lists("a", "b", 40).alias("merged"))
 
 
-@query("""WITH k AS (SELECT doc_id, string_split(text, ' ')[1:8] AS w FROM documents), h AS (SELECT doc_id, w, list_transform(w, lambda x: left(x, 3)) AS h FROM k) SELECT doc_id, list_filter(w, lambda x, i: list_position(h, left(x, 3)) = i)[1:5] AS kept FROM h""")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), f AS (SELECT doc_id, left(w, 3) AS h, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY doc_id, left(w, 3)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
+SELECT doc_id, list(w ORDER BY i) AS kept FROM r WHERE r <= 30 GROUP BY doc_id""")
 def dedupe_prefix(spark, sf_dir):
     """Items without a repeated beginning."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 8).alias("w"))
-    return d.select("doc_id", joins.dedupe_by_prefix("w", 3, 5).alias("kept"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    return d.select("doc_id", joins.dedupe_by_prefix("w", 3, 30).alias("kept"))
 
 
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
@@ -247,10 +250,15 @@ def ledger(spark, sf_dir):
     return columns(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), "source"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'scum') THEN 'RED' WHEN contains(text, 'idiot') THEN 'ORANGE' WHEN contains(text, 'clown') THEN 'YELLOW' ELSE 'GREEN' END AS level FROM documents")
+@query(
+    """WITH l AS (SELECT doc_id, contains(text, 'stupid') AS harmless, CASE WHEN contains(text, 'scum') OR regexp_matches(text, '(the|er) .{0,4}(loser|clown)') THEN 3
+  WHEN contains(text, 'idiot') OR regexp_matches(text, '(the|er) .{0,4}(trash)') THEN 2 WHEN contains(text, 'clown') THEN 1 ELSE 0 END AS n FROM documents)
+SELECT doc_id, ['GREEN', 'YELLOW', 'ORANGE', 'RED'][n - (n >= 2 AND harmless)::INT + 1] AS level FROM l WHERE n IS NOT NULL"""
+)
 def crisis_levels(spark, sf_dir):
-    """Tiers of words."""
-    return table(spark, sf_dir, "documents").select("doc_id", privacy.crisis("text", {"RED": ["scum"], "ORANGE": ["idiot"], "YELLOW": ["clown"]}, [], [], []).alias("level"))
+    """Tiers of words, of words about oneself, and harmless phrases."""
+    level = privacy.crisis("text", {"RED": ["scum"], "ORANGE": ["idiot"], "YELLOW": ["clown"]}, {"RED": ["loser", "clown"], "ORANGE": ["trash"]}, ["the ", "er "], ["stupid"])
+    return table(spark, sf_dir, "documents").select("doc_id", level.alias("level"))
 
 
 @query("SELECT doc_id, md5(replace(replace(text, 'trash', 'rubbish'), 'idiot', 'person')) AS digest, ((length(text) - length(replace(text, 'trash', ''))) / 5)::INT + ((length(text) - length(replace(text, 'idiot', ''))) / 5)::INT AS n FROM documents")

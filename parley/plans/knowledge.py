@@ -94,10 +94,10 @@ def cell_search(spark, sf_dir):
     return retrieval.search_cells(indexed, centres, list(e.where("vec_id = 0").first().embedding), 6, 10, "vec_id")
 
 
-@query("""WITH p AS (SELECT a.vec_id AS x, unnest([0, 1]) AS l, CASE WHEN unnest([0, 1]) = 0 THEN a.vec_id % 40 ELSE a.vec_id END AS id, a.vec_id + 1 AS rank FROM embeddings a WHERE a.vec_id < 30), m AS (SELECT id, min(l) AS l FROM p GROUP BY id), n AS (SELECT p.id, m.l AS list, min(rank) AS rank FROM p JOIN m ON p.id = m.id AND p.l = m.l GROUP BY ALL) SELECT id, list::INT AS list, rank FROM n ORDER BY list, rank, id LIMIT 8""")
+@query("""WITH p AS (SELECT a.vec_id AS x, unnest([0, 1]) AS l, CASE WHEN unnest([0, 1]) = 0 THEN a.vec_id % 40 ELSE a.vec_id END AS id, a.vec_id + 1 AS rank FROM embeddings a), m AS (SELECT id, min(l) AS l FROM p GROUP BY id), n AS (SELECT p.id, m.l AS list, min(rank) AS rank FROM p JOIN m ON p.id = m.id AND p.l = m.l GROUP BY ALL) SELECT id, list::INT AS list, rank FROM n ORDER BY list, rank, id LIMIT 8""")
 def priority_hits(spark, sf_dir):
     """Hits of one list before those of another, each once."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 30")
+    e = table(spark, sf_dir, "embeddings")
     first = e.select((F.col("vec_id") % 40).alias("id"), (F.col("vec_id") + 1).alias("rank"))
     second = e.select(F.col("vec_id").alias("id"), (F.col("vec_id") + 1).alias("rank"))
     return ranking.priority_union(first, second, "id", 8)

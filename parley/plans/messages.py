@@ -285,11 +285,11 @@ def neutrality(spark, sf_dir):
     return reports.neutrality(table(spark, sf_dir, "conversations"), "conv_id", "text", "nicht", "(^| )der( |$)", "(^| )die( |$)")
 
 
-@query("""WITH l AS (SELECT conv_id, turn, string_split(text, ' ')[1:3] AS w FROM conversations), g AS (SELECT conv_id, arg_min(w, turn) AS f, arg_max(w, turn) AS l FROM l GROUP BY conv_id)
+@query("""WITH l AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), g AS (SELECT conv_id, arg_min(w, turn) AS f, arg_max(w, turn) AS l FROM l GROUP BY conv_id)
 SELECT conv_id, list_sort(list_distinct(list_filter(l, lambda x: NOT list_contains(f, x)))) AS emerged, list_sort(list_distinct(list_filter(f, lambda x: NOT list_contains(l, x)))) AS faded FROM g""")
 def set_evolution(spark, sf_dir):
     """What the last turn has and the first lacks, and the reverse."""
-    c = table(spark, sf_dir, "conversations").withColumn("labels", F.slice(F.split("text", " "), 1, 3))
+    c = table(spark, sf_dir, "conversations").withColumn("labels", F.split("text", " "))
     return reports.evolution(c, ["conv_id"], "labels", ["turn"])
 
 

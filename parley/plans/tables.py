@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +41,13 @@ TURNS = """turns AS (
          CASE role WHEN 'user' THEN 'ME' WHEN 'assistant' THEN 'OTHER' ELSE 'SYSTEM' END AS speaker, text AS text_raw, 'CV:' || conv_id || '-' || turn AS msg_uid FROM conversations)"""
 EVENT_ROWS = """ev AS (
   SELECT user_id AS conv_id, event_id AS seq, epoch_us(ts) // 1000000 AS ts, event_type AS speaker, event_type || ' ' || (props::JSON->>'$.k') AS text_raw, value, ts AS time FROM events)"""
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; in local mode without that setting a temporary one."""
+    have = spark.conf.get("spark.checkpoint.dir", None)
+    if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        have = f"file://{tempfile.gettempdir()}/parley-files"
+    return f"{have.rstrip('/')}/{name}-{uuid.uuid4().hex}"

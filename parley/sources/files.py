@@ -17,7 +17,7 @@ from parley.operators.messages import apply_mapping, map_code
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) from 1 within each file: a file is read as a whole, as splits do not know their line numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n\\z", "").alias("value"))
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")
 
 

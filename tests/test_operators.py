@@ -184,7 +184,7 @@ def test_level2_has_no_absolute_time(spark):
 
 def test_crisis_levels(spark):
     df = spark.createDataFrame([("我真的不想活",), ("笑死我了 死",), ("ok",)], "t string")
-    level = privacy.crisis("t", {"RED": [], "ORANGE": ["死"], "YELLOW": []}, ["不想活"], ["我"], ["笑死"])
+    level = privacy.crisis("t", {"RED": [], "ORANGE": ["死"], "YELLOW": []}, {"ORANGE": ["不想活"], "RED": ["跳下去"]}, ["我"], ["笑死"])
     assert [r.l for r in df.select(level.alias("l")).collect()] == ["ORANGE", "YELLOW", "GREEN"]
 
 

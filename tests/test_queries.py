@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from parley.plans import catalogue, documents, knowledge, messages, relational  # noqa: F401
+from parley.plans import catalogue, documents, fields, knowledge, messages, relational  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
