@@ -29,6 +29,12 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "boost": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "artistic-2": "This copyright license is granted under the Artistic License 2.0: everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "cc0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
 }
@@ -174,13 +180,22 @@ class Catalogue:
         for k, t, p, n in matches:
             by_template[k].append((p, t, n))
         for k, own in by_template.items():
-            own = sorted(set(own))
-            total = []
-            for i, (p, t, n) in enumerate(own):
+            # matches that end before the present one are kept by place and length in the template only, so that a file of
+            # very many notices costs no more than its matches times those
+            past: dict[tuple[int, int], int] = {}
+            near: list[tuple[int, int, int, int]] = []
+            most = 0
+            for p, t, n in sorted(set(own)):
+                for pj, tj, nj, total in near:
+                    if pj + nj <= p:
+                        past[tj, nj] = max(past.get((tj, nj), 0), total)
+                near = [x for x in near if x[0] + x[2] > p]
                 # a later match may begin inside the former one; then only its new words count
-                before = [total[j] - max(0, pj + nj - p, tj + nj - t) for j, (pj, tj, nj) in enumerate(own[:i]) if pj < p and tj < t]
-                total.append(n + max([0, *before]))
-            best[self.labels[k]] = max(best.get(self.labels[k], 0.0), min(1.0, max(total) / len(self.sequences[k])))
+                before = [total - max(0, tj + nj - t) for (tj, nj), total in past.items() if tj < t]
+                before += [total - max(0, pj + nj - p, tj + nj - t) for pj, tj, nj, total in near if pj < p and tj < t]
+                near.append((p, t, n, n + max([0, *before])))
+                most = max(most, near[-1][3])
+            best[self.labels[k]] = max(best.get(self.labels[k], 0.0), min(1.0, most / len(self.sequences[k])))
         return best
 
 

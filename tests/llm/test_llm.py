@@ -330,6 +330,19 @@ def test_matching_statistics():
             assert sorted(set(automaton.ends[state])) == sorted((k, j) for k, t in enumerate(templates) for j in range(length - 1, len(t)) if t[j - length + 1 : j + 1] == match)
 
 
+def test_chains_equal_brute_force():
+    rng = random.Random(5)
+    catalogue = licenses.Catalogue()
+    k = max(range(len(catalogue.labels)), key=lambda i: len(catalogue.sequences[i]))
+    size = len(catalogue.sequences[k])
+    for _ in range(60):
+        matches = sorted({(k, t, p, n) for t, p, n in ((rng.randrange(size - 8), rng.randrange(60), rng.randrange(3, 8)) for _ in range(rng.randrange(1, 9)))}, key=lambda m: (m[2], m[1], m[3]))
+        totals = []
+        for i, (_, t, p, n) in enumerate(matches):
+            totals.append(n + max([0, *(totals[j] - max(0, q + m - p, s + m - t) for j, (_, s, q, m) in enumerate(matches[:i]) if q < p and s < t)]))
+        assert catalogue.coverage(matches)[catalogue.labels[k]] == pytest.approx(min(1.0, max(totals) / size))
+
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
