@@ -4,7 +4,7 @@ The pieces and their first weights are those of an existing vocabulary; expected
 (one step of expectation and maximisation) turn them into probabilities. A word is the marker of a word start followed by
 its bytes; its lattice has an edge for every piece, and single-byte pieces make every word possible. The pieces that start
 words and those that go on share one distribution, so the lattice gives all words together probability 1. A word of the
-training texts has one more edge, over all of it: its count less DISCOUNT; what the discounts free goes to the pieces.
+training texts has one more edge, over all of it: its count less a discount; what the discounts free goes to the pieces.
 The forward recursion runs in log space over the lattices of many words of one length at a time.
 """
 
@@ -21,7 +21,7 @@ from parley.llm.scratch import Scratch
 MARK = "▁".encode()
 #: Word types with at least this share of all tokens, at most 1 / HEAVY of them, are sent to every task.
 HEAVY = 1e-6
-#: What the whole-word edge of each training type gives to the pieces.
+#: What the whole-word edge of each training type gives to the pieces, where types seen once and twice do not tell it.
 DISCOUNT = 0.75
 _CELLS = 22
 
@@ -179,8 +179,8 @@ def _expect_task(vocabulary, log_p):
     return run
 
 
-def _word_task(vocabulary, log_p, total: int, types: int):
-    whole, shared = (1 / total, DISCOUNT * types / total) if types else (0.0, 1.0)
+def _word_task(vocabulary, log_p, total: int, types: int, discount: float):
+    whole, shared = (1 / total, discount * types / total) if types else (0.0, 1.0)
 
     def run(batches):
         v, p = vocabulary.value, log_p.value
@@ -191,7 +191,7 @@ def _word_task(vocabulary, log_p, total: int, types: int):
                 out[part] = v.forward(rows, p)[-1]
             counts = batch.column("c").to_numpy()
             with np.errstate(divide="ignore"):
-                out = np.logaddexp(np.log(shared) + out, np.log(np.maximum(counts - DISCOUNT, 0) * whole)) / np.log(10)
+                out = np.logaddexp(np.log(shared) + out, np.log(np.maximum(counts - discount, 0) * whole)) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(out)], names=["h", "c", "lp"])
 
     return run
@@ -240,7 +240,7 @@ def _score_task(heavy, total: int, types: int, ends: int, end_lp: float):
     return run
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fold: int = 1, prior: float = 100.0, rounds: int = 1) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fold: int = 1, prior: float = 100.0, rounds: int = 2) -> DataFrame:
     """One row per row of `docs` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words `[^\\x20\\x09-\\x0D]+` in ASCII lower case and one end. Counts come from the rows whose
@@ -254,7 +254,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fold
     scratch = Scratch(spark, "lattice")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(fold).alias("held_out"))
     types = scratch.write(docs.select("text", "held_out").mapInArrow(_count_task, "h long, word binary, c long").groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c")), "types")
-    n, v = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    n, v, once, twice = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    discount = once / (once + 2 * twice) if once and twice else DISCOUNT
     ends = docs.where("not held_out").count()
     total, kinds = n + ends, v + (ends > 0)
     vocabulary = Vocabulary.from_file(vocabulary_path)
@@ -270,9 +271,9 @@ def score_texts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fold
         expected = prior * vocabulary.first
         expected[found.column("piece").to_numpy()] += found.column("n").to_numpy()
         p = expected / expected.sum()
-    words = scratch.write(types.mapInArrow(_word_task(sent, logs(p), total, kinds), "h long, c long, lp double"), "words")
+    words = scratch.write(types.mapInArrow(_word_task(sent, logs(p), total, kinds, discount), "h long, c long, lp double"), "words")
     heavy = words.where(F.col("c") >= max(1, total * HEAVY)).toArrow().sort_by("h")
-    end_lp = float(np.log10((ends - DISCOUNT) / total)) if ends else 0.0
+    end_lp = float(np.log10((ends - discount) / total)) if ends else 0.0
     keys = heavy.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     scratch.close(words)
