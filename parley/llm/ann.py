@@ -122,20 +122,23 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 100, parts: int = 32, eta: float = 4.0, sample_rows: int = 10_000) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k nearest rows of `vectors` by cosine, itself left out.
 
-    Both have vec_id and embedding; vectors of another than the most frequent length, null, non-finite or only zero components take no part, nor
-    do null vec_ids. Ties go to the smaller vec_id. Codebooks are fitted on about `sample_rows` rows; every row is coded
-    and scanned. Each pair of a candidate block and a query block is one group: the `rerank` best table scores per query
-    and block give a bound, and every candidate whose table score is within its error of it is scored exactly, so the
-    result is that of a full search. Repeated rows count once. Without vectors or queries the result is empty.
+    Both have vec_id and embedding; vectors null, with null or non-finite components or without any but zeros take no part,
+    nor do null vec_ids. Vectors are compared with those of their own length, each length searched by itself. Ties go to
+    the smaller vec_id. Codebooks are fitted on about `sample_rows` rows; every row is coded and scanned. Each pair of a
+    candidate block and a query block is one group: the `rerank` best table scores per query and block give a bound, and
+    every candidate whose table score is within its error of it is scored exactly, so the result is that of a full search.
+    Of rows that repeat a vec_id the smallest vector counts. Without vectors or queries the result is empty.
     """
-    v, q = usable(vectors).dropDuplicates(["vec_id"]), usable(queries).dropDuplicates(["vec_id"])
-    lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if lengths:
-        v, q = (t.where(F.size("v") == lengths[0].d) for t in (v, q))
-    n, m = v.count(), q.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n or not m:
-        return empty
+    v, q = (usable(t).groupBy("vec_id").agg(F.min("v").alias("v")) for t in (vectors, queries))
+    lengths = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).join(q.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("m")), "d").orderBy("d").collect()  # lengths that occur
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths:
+        found = _nearest_of_length(spark, v.where(F.size("v") == d.d), q.where(F.size("v") == d.d), d.n, d.m, k, rerank, parts, eta, sample_rows)
+        out = found if d is lengths[0] else out.unionByName(found)
+    return out
+
+
+def _nearest_of_length(spark: SparkSession, v: DataFrame, q: DataFrame, n: int, m: int, k: int, rerank: int, parts: int, eta: float, sample_rows: int) -> DataFrame:
     modulus = max(1, n // sample_rows)
     sample = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(modulus)) == 0).select("v").toArrow().column("v").to_numpy()
     if not len(sample):
