@@ -189,6 +189,14 @@ def test_bounds_of_the_edit_distance():
     assert not line_dedup.similar(long, " ".join(f"w{i:x}" for i in range(190_000)), 90)
 
 
+@pytest.mark.parametrize("texts", [["x"], ["ab\ncd", "e"], ["\n\nz"], ["é", None, ""], ["a b", "c" * 400_000, "q"], [" ".join("ab" for _ in range(70_000)), "y"]])
+@pytest.mark.parametrize("percent", [50, 90, 100])
+def test_line_task_takes_short_and_long_lines(texts, percent):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = [(d, n) for b in line_dedup._line_task(percent)(iter([batch])) for d, n in zip(b.column("doc_id").to_pylist(), b.column("line").to_pylist())]
+    assert got == [(d, n) for d, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) if line_dedup.normalised(line.encode())]
+
+
 def edited(rng, line, vocabulary, how):
     """A line with one letter changed, one word, or words up to an edit similarity of 0.9."""
     if how == "letter":
@@ -705,3 +713,19 @@ def test_pipeline(spark, sf):
     assert clean >= 0.95 * labelled.count()
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == kept["mixing"]
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf, rows, empty):
+    """Nulls, empty and long texts, repeated rows, clashing columns, an empty table: columns and their values come back."""
+    from parley.llm import pipeline
+
+    some = spark.createDataFrame(rows[:40] + rows[-10:], SCHEMA)
+    clash = {c: F.lit(f"own {c}") for c in ("size", "target", "repeats", "source_size", "n_lines", "n_removed", "score")}
+    for name, stage in pipeline.STAGES[:4]:
+        docs = some.withColumns(clash).repartition(3)
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"own {c}" for r in got for c in clash)
+        assert stage(spark, empty, sf).count() == 0
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and (None in {r.doc_id for r in got})
