@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators over the supplied tables, and their SQL where SQL can express them."""
+"""The thin queries of the operators over the supplied tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import ann, bpe, jaccard_join, lattice_lm, licenses, line_dedup, mixing, pii, simhash, toxicity
+from parley.llm import ann, bpe, codebooks, hard_negatives, jaccard_join, lattice_lm, licenses, line_dedup, mixing, pii, simhash, toxicity
 
 #: Files of public tokenizers; a path every executor has.
 BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -76,9 +76,52 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lattice_lm.held_out(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_license_scan, op4_lattice_lm, op5_pii, op6_mixing, op7_bpe, op8_simhash, op9_ann, op10_toxicity)}
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors after two rounds over codebooks of 64 entries for each of 16 parts."""
+    return codebooks.elkan_codes(spark, _table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50; every seventh label is moved to the next class."""
+    e = _table(spark, sf_dir, "embeddings")
+    moved = e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(spark, moved, e.where("vec_id % 50 = 0").select("vec_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_license_scan, op4_lattice_lm, op5_pii, op6_mixing, op7_bpe, op8_simhash, op9_ann, op10_toxicity, op11_codebooks, op12_hard_negatives)}
+
+#: The rows that take part, with integer components.
+_WHOLE = """SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _codebooks_sql(rounds: int = 2) -> str:
+    """Lloyd's rounds, unrolled."""
+    near = "SELECT vec_id, part, entry, d FROM (SELECT c.vec_id, c.part, b.entry, sum((c.x - b.y) * (c.x - b.y)) AS d FROM c JOIN b{0} b USING (part, place) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1"
+    mean = "SELECT b.part, b.entry, b.place, coalesce(m.y, b.y) AS y FROM b{0} b LEFT JOIN (SELECT part, entry, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS y FROM c JOIN a{0} USING (vec_id, part) GROUP BY ALL) m USING (part, entry, place)"
+    steps = ",\n".join(f"a{i} AS MATERIALIZED ({near.format(i)}),\nb{i + 1} AS MATERIALIZED ({mean.format(i)})" for i in range(rounds))
+    return f"""
+WITH k AS ({_WHOLE}),
+c AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(v) // 16) AS part, (i - 1) % (len(v) // 16) AS place, v[i] AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM k)),
+b0 AS MATERIALIZED (SELECT part, entry, place, x AS y FROM c JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{steps},
+last AS ({near.format(rounds)}),
+r AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM last GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+FROM r JOIN k USING (vec_id)
+"""
+
 
 ORACLES = {
+    "op11_codebooks": _codebooks_sql(),
+    "op12_hard_negatives": f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v::DOUBLE[] AS v FROM ({_WHOLE}) WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+""",
     "op1_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
