@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import ann, bpe, codebooks, hard_negatives, jaccard_join, lattice_lm, licenses, line_dedup, mixing, pii, simhash, toxicity
+from parley.llm import ann, bpe, codebooks, hard_negatives, jaccard_join, lattice_lm, licenses, line_dedup, mixing, pii, secrets, simhash, toxicity
 
 #: Files of public tokenizers; a path every executor has.
 BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -88,7 +88,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark, moved, e.where("vec_id % 50 = 0").select("vec_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_license_scan, op4_lattice_lm, op5_pii, op6_mixing, op7_bpe, op8_simhash, op9_ann, op10_toxicity, op11_codebooks, op12_hard_negatives)}
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of fixed forms in each document, and tokens that look random."""
+    return secrets.scan_secrets(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_license_scan, op4_lattice_lm, op5_pii, op6_mixing, op7_bpe, op8_simhash, op9_ann, op10_toxicity, op11_codebooks, op12_hard_negatives, op13_secrets)}
 
 #: The rows that take part, with integer components.
 _WHOLE = """SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
