@@ -117,7 +117,50 @@ FROM r JOIN k USING (vec_id)
 """
 
 
+def _secrets_sql(rate: float = 0.05, least: int = 20) -> str:
+    """The three fixed kinds, the tests of long tokens and their decoys, and the limits of their scores."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"({names})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    patterns = [assign, *list(secrets.KINDS.values())[1:], f"[A-Za-z0-9+/_=-]{{{least},}}"]
+    last = len(secrets.KINDS)
+    matches = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(text, '{p}', 0) AS ms, string_split_regex(text, '{p}') AS ps FROM t" for k, p in enumerate(patterns))
+    encoding = " ".join(f"WHEN regexp_full_match(body, '{letters}+'){' OR regexp_full_match(body, $$[0-9A-F]+$$)' if name == 'hex' else ''} THEN '{name}'" for name, (letters, _) in secrets.ENCODINGS.items())
+    alphabet = " ".join(f"WHEN '{name}' THEN '{symbols}'" for name, (_, symbols) in secrets.ENCODINGS.items())
+    symbols = " ".join(f"WHEN '{name}' THEN regexp_replace({{0}}, '[^{letters[1:-1]}]', '', 'g')" for name, (letters, _) in secrets.ENCODINGS.items())
+    fold = "CASE WHEN encoding IN ('hex', 'base36') THEN lower({0}) WHEN encoding = 'base32' THEN upper({0}) ELSE {0} END"
+    classes = " ".join(f"WHEN length(body) >= {c} THEN {c}" for c in reversed(secrets.CLASSES))
+    z = "greatest(-8.0::DOUBLE, least(8.0::DOUBLE, {0}))"
+    tail = f"(-ln(1 + exp(1.5976::DOUBLE * {z} + 0.07056::DOUBLE * {z} * {z} * {z})))"
+    two = f"least(0.0::DOUBLE, ln(2.0::DOUBLE) + {tail.format('abs({0})')})"
+    kinds = ", ".join(f"'{name}'" for name in [*secrets.KINDS, "random"])
+    counts = ", ".join(f"count(*) FILTER (kind = {k} AND base) AS n_{name}" for k, name in enumerate(secrets.KINDS))
+    return f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+k AS ({matches}),
+m AS (SELECT r, kind, i, ms[i] AS token, ps[i] AS before, ps[i + 1] AS after, length(ps[i]) + length(ms[i]) AS reach FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM k)),
+p AS MATERIALIZED (SELECT r, kind, token, before, after, e - length(token) AS s, e, kind < {last} AND (kind > 0 OR length(regexp_extract(token, '{assign}', 2)) >= 6) AS base FROM (SELECT *, sum(reach) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM m)),
+c AS (SELECT *, CASE {encoding} END AS encoding FROM (SELECT r, s, e, right(before, {secrets.AROUND} * length(token)) AS before, left(after, {secrets.AROUND} * length(token)) AS after, regexp_replace(token, '=+$', '') AS body FROM p WHERE kind = {last}) WHERE length(body) >= 2),
+f AS (SELECT r, s, e, encoding, {fold.format('body')} AS body, {fold.format('before')} AS before, {fold.format('after')} AS after, CASE encoding {alphabet} END AS alphabet, CASE {classes} END AS size_class FROM c),
+g AS (SELECT *, CASE encoding {symbols.format('before')} END AS l, l || CASE encoding {symbols.format('after')} END AS a FROM f),
+x AS (SELECT r, s, e, encoding, size_class, alphabet, unnest([0, 1]) AS decoy, unnest([body, CASE WHEN length(l) >= length(body) THEN right(l, length(body)) WHEN length(a) >= length(body) THEN left(a, length(body)) END]) AS x FROM g),
+v AS (SELECT *, length(x)::DOUBLE AS n, length(alphabet)::DOUBLE AS k, list_sum(list_transform(string_split(alphabet, ''), lambda ch: (length(x) - length(replace(x, ch, ''))) ** 2))::DOUBLE AS squares, list_transform(string_split(x, ''), lambda ch: instr(alphabet, ch) - 1 - (length(alphabet)::DOUBLE - 1) / 2) AS v FROM x WHERE x IS NOT NULL),
+w AS (SELECT *, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi,
+  (list_sum(list_transform(range(1, len(v)), lambda i: ((v[i] > 0) <> (v[i + 1] > 0))::INT))::DOUBLE - (n - 1) / 2) / sqrt((n - 1) / 4) AS runs, list_sum(list_transform(range(1, len(v)), lambda i: v[i] * v[i + 1])) / ((k * k - 1) / 12 * sqrt(n - 1)) AS serial FROM v),
+y AS MATERIALIZED (SELECT r, s, e, encoding, size_class, decoy, floor(-2.0::DOUBLE * ({tail.format('chi')} + {two.format('runs')} + {two.format('serial')}) / {secrets.STEP}::DOUBLE) AS step FROM w),
+h AS (SELECT encoding, size_class, step, count(*) FILTER (decoy = 0) AS t, count(*) FILTER (decoy = 1) AS d FROM y GROUP BY ALL),
+u AS (SELECT encoding, size_class, step, sum(t) OVER o AS t, sum(d) OVER o AS d, sum(t) OVER q AS all_t, sum(d) OVER q AS all_d FROM h WINDOW o AS (PARTITION BY encoding, size_class ORDER BY step), q AS (PARTITION BY encoding, size_class)),
+lim AS (SELECT encoding, size_class, max(step) AS top FROM u WHERE (d + 1) * all_t <= {rate}::DOUBLE * t * all_d GROUP BY ALL),
+found AS (SELECT r, s, e, kind, true AS base FROM p WHERE base UNION ALL
+  SELECT r, s, e, {last}, false FROM y JOIN lim USING (encoding, size_class) WHERE decoy = 0 AND step <= top AND NOT EXISTS (SELECT 1 FROM p WHERE p.base AND p.r = y.r AND p.s < y.e AND y.s < p.e)),
+spelled AS (SELECT *, [{kinds}][kind + 1] || ':' || s || ':' || e AS span FROM found),
+o AS (SELECT r, {counts}, string_agg(span, ',' ORDER BY s, kind) FILTER (base) AS fixed, string_agg(span, ',' ORDER BY s, kind) AS spans FROM spelled GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{name}, 0) AS n_{name}' for name in secrets.KINDS)}, sha256(coalesce(fixed, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN o USING (r)
+"""
+
+
 ORACLES = {
+    "op13_secrets": _secrets_sql(),
     "op11_codebooks": _codebooks_sql(),
     "op12_hard_negatives": f"""
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v::DOUBLE[] AS v FROM ({_WHOLE}) WHERE label IS NOT NULL),

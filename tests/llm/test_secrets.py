@@ -137,3 +137,18 @@ def test_no_python_runs(spark, capsys):
     df = secrets.scan_secrets(spark, spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string").select("doc_id", F.col("text")))
     df.explain("formatted")
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_the_sql_says_the_same(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from parley.llm.queries import ORACLES
+
+    rows = corpus(seed=5)
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})  # noqa: F841  read by the SQL
+    cursor = duckdb.connect().execute(ORACLES["op13_secrets"])
+    names = [d[0] for d in cursor.description]
+    got = secrets.scan_secrets(spark, spark.createDataFrame(rows, SCHEMA)).select(*names).collect()
+    want = sorted(cursor.fetchall(), key=str)
+    assert sorted((tuple(r) for r in got), key=str) == want and sum("random" in w[names.index("spans")] for w in want) > 50
