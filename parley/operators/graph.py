@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.lineage import cut
+
 
 def build(nodes: DataFrame, id: str, related: str) -> DataFrame:
     """Undirected edges (src < dst) from arrays of related ids; unknown ids and loops are left out."""
@@ -42,13 +44,13 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int, allowed: Da
 
 def components(nodes: DataFrame, id: str, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. Labels move to the least neighbour's and jump to the label's label."""
-    labels = nodes.select(F.col(id).alias("id"), F.col(id).alias("label")).checkpoint()
-    arcs = both_ways(edges).checkpoint()
+    labels = cut(nodes.select(F.col(id).alias("id"), F.col(id).alias("label")))
+    arcs = cut(both_ways(edges))
     while True:
         least = arcs.join(labels, arcs["dst"] == labels["id"]).groupBy(F.col("src").alias("id")).agg(F.min("label").alias("m"))
         moved = labels.join(least, "id", "left").select("id", F.least("label", "m").alias("label"))
         over = moved.select(F.col("id").alias("l"), F.col("label").alias("ll"))
-        after = moved.join(over, moved["label"] == over["l"], "left").select("id", F.least("label", "ll").alias("label")).checkpoint()
+        after = cut(moved.join(over, moved["label"] == over["l"], "left").select("id", F.least("label", "ll").alias("label")))
         if after.exceptAll(labels).isEmpty():
             return after.select("id", F.col("label").alias("component"))
         labels = after

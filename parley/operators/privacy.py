@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.functions import spans
 from parley.functions.text import col
 from parley.functions.times import generalise, relative_day
+from parley.operators import numbering
 
 # Default patterns by type, tried in this order.
 PATTERNS = {
@@ -29,21 +30,14 @@ def pii_counts(text: Column | str, patterns: dict[str, str] = PATTERNS) -> Colum
     return F.struct(*[F.regexp_count(t, F.lit(p)).alias(k) for k, p in patterns.items()])
 
 
-def pii_spans(text: Column | str, patterns: dict[str, str] = PATTERNS) -> Column:
-    """array of (type, value) in order of types; positions follow from the text where they are needed."""
-    t = F.coalesce(col(text), F.lit(""))
-
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
-
-    return F.concat(*[of(kind, pattern) for kind, pattern in patterns.items()])
+def pii_spans(text: Column | str, patterns: dict[str, str] = PATTERNS, overlaps: str = "all") -> Column:
+    """array of (start, end, type, value), see find_spans; by default each type finds its own, equal places count once."""
+    return spans.find_spans(text, patterns, overlaps)
 
 
 def redact(text: Column | str, patterns: dict[str, str] = PATTERNS, placeholders: dict[str, str] = PLACEHOLDERS) -> Column:
-    out = col(text)
-    for kind, pattern in patterns.items():
-        out = F.regexp_replace(out, pattern, re.sub(r"([\\$])", r"\\\1", placeholders.get(kind, f"[{kind}]")))
-    return out
+    """Matches of all types by placeholders in one reading; what was put in is not read again."""
+    return spans.replace_matches(text, patterns, placeholders)
 
 
 def speaker_prefix(text: Column | str, me: list[str]) -> Column:
@@ -78,8 +72,7 @@ def anonymise_recall(text: Column | str, speaker: Column | str) -> Column:
 def pseudonyms(df: DataFrame, entity: str, order: str, kind: str = "PERSON") -> DataFrame:
     """(entity, pseudonym): [KIND_n] by first occurrence; the ranking runs over the distinct entities only."""
     first = df.where(F.col(entity).isNotNull() & (F.col(entity) != "")).groupBy(entity).agg(F.min(order).alias("__first"))
-    n = F.row_number().over(W.orderBy("__first", entity))
-    return first.select(entity, F.concat(F.lit(f"[{kind}_"), n.cast("string"), F.lit("]")).alias("pseudonym"))
+    return numbering.numbered(first, ["__first", entity], "__n").select(entity, F.concat(F.lit(f"[{kind}_"), F.col("__n").cast("string"), F.lit("]")).alias("pseudonym"))
 
 
 def replace_entities(df: DataFrame, entity: str, names: DataFrame) -> DataFrame:

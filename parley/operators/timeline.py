@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parley.functions import lexicons as L
 from parley.functions.text import HAN, contains_any, han_runs
 from parley.functions.times import describe_gap
+from parley.operators import numbering
 
 
 def by(conv: str = "conv_id", *order: str):
@@ -198,7 +199,7 @@ def segment_by_events(df: DataFrame, least: int = 10, most: int = 20, gap: int =
 def dense_ids(df: DataFrame, uid: str, seq: str) -> DataFrame:
     """(uid, id): 1, 2, ... in order of first occurrence; the ranking runs over the distinct ids only."""
     first = df.groupBy(uid).agg(F.min(seq).alias("__first"))
-    return first.select(uid, F.row_number().over(W.orderBy("__first", uid)).alias("id"))
+    return numbering.numbered(first, ["__first", uid], "id").select(uid, "id")
 
 
 def compress_times(df: DataFrame, ts: str = "time", conv: str = "conv_id", order: tuple[str, ...] = ("seq",)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import joins, media, messages, privacy, reports
+from parley.operators import joins, media, messages, names, privacy, reports
 from parley.plans.catalogue import query
 from parley.plans.messages import BAD, GOOD, LABELS, _any, _present
 from parley.plans.tables import table
@@ -24,10 +24,42 @@ def pii_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", privacy.pii_counts("text", PATTERNS).alias("c")).select("doc_id", "c.*")
 
 
-@query("SELECT doc_id, md5(" + "regexp_replace(" * len(PATTERNS) + "text" + "".join(f", '{p}', '[{k}]', 'g')" for k, p in PATTERNS.items()) + ") AS digest FROM documents")
+#: All patterns as one, and the kind of a match.
+_ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_kind = lambda v: "CASE " + " ".join(f"WHEN regexp_full_match({v}, '{p}') THEN '{k}'" for k, p in PATTERNS.items()) + " END"
+
+
+@query(f"""WITH c AS (SELECT doc_id, string_split_regex(text, '{_ALL}') AS ps, regexp_extract_all(text, '{_ALL}') AS ms FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce('[' || {_kind('ms[i]')} || ']', '')), '')) AS digest FROM c""")
 def pii_redact(spark, sf_dir):
     """Matches by placeholders."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(privacy.redact("text", PATTERNS)).alias("digest"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(privacy.redact("text", PATTERNS)).alias("digest"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, string_split_regex(text, '{_ALL}') AS ps, regexp_extract_all(text, '{_ALL}') AS ms FROM documents),
+m AS (SELECT doc_id, i, ms[i] AS v, length(ps[i]) + length(ms[i]) AS n FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM c)),
+e AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM m)
+SELECT doc_id, e - length(v) AS start, e AS "end", {_kind('v')} AS type, v AS value FROM e""")
+def pii_places(spark, sf_dir):
+    """Matches of all types in one reading, with their places."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.pii_spans("text", PATTERNS, overlaps="first")).alias("s"))
+    return found.select("doc_id", "s.*")
+
+
+#: Names: the longer words of the benchmark, each with the word that a reader sees instead.
+_NAMES = "SELECT DISTINCT w AS text, 'N' || length(w) AS code FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark) WHERE length(w) >= 6"
+
+
+@query(f"""WITH n AS ({_NAMES}),
+c AS (SELECT doc_id, string_split_regex(text, '[\\p{{L}}\\p{{N}}_]+') AS ps, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS ms FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, ps[i] AS p, ms[i] AS v FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM c))
+SELECT doc_id, count(n.code)::INT AS replaced, md5(string_agg(p || coalesce('[' || n.code || ']', v, ''), '' ORDER BY i)) AS digest FROM w LEFT JOIN n ON n.text = lower(v) GROUP BY doc_id""")
+def names_from_table(spark, sf_dir):
+    """Names of a table as one dictionary; whole words in any case, by their code."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))).alias("text")).distinct().where("length(text) >= 6")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    out = names.replace_names(docs, "doc_id", "text", words.withColumn("code", F.concat(F.lit("N"), F.length("text"))), borders=True, ignore_case=True)
+    return out.select("doc_id", "replaced", F.md5("text").alias("digest"))
 
 
 @query("WITH m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS v FROM documents" for k, p in PATTERNS.items()) + ") SELECT type, count(*) AS matches, count(DISTINCT v) AS values, count(DISTINCT doc_id) AS messages FROM m GROUP BY type")
