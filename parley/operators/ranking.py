@@ -34,31 +34,6 @@ def rank_in(df: DataFrame, keys: list[str], score: str, tie: str, k: int | None
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, id: str, embedding: str, least: float, block: int = 4096) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b with cosine of `least` or more.
-
-    Vectors are dealt to blocks of about `block` rows; a pair of blocks is a group with one matrix product.
-    """
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    rows = df.select(F.col(id).alias("id"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("own"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g.v.to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        ids, own, i, j = g.id.to_numpy(), g.own.to_numpy(), g.i.iloc[0], g.j.iloc[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        s = x[left] @ x[right].T
-        at, bt = np.nonzero(s >= least)
-        a, b = ids[left[at]], ids[right[bt]]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[at, bt][keep]})
-
-    return dealt.groupBy("i", "j").applyInPandas(pairs, "a long, b long, similarity double")
-
-
 def keyword_scores(docs: DataFrame, queries: DataFrame, weight: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score): tokens that a query and a document share, by join on the token.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions.text import contains_any
-from parley.operators import ranking
+from parley.operators import ranking, search
 
 
 def by_days(chunks: DataFrame, days: list[int]) -> DataFrame:
@@ -62,9 +62,8 @@ def lexical(entries: DataFrame, words: list[str], category: str = "") -> DataFra
 
 def hybrid(entries: DataFrame, words: list[str], similarity: Column, k: int = 2, floor: float = 0.30, category: str = "") -> DataFrame:
     """The k entries of the fused lexical and semantic rankings; similarities below the floor do not take part."""
-    lex = ranking.rank_in(lexical(entries, words, category).withColumn("q", F.lit(0)), ["q"], "score", "id")
-    sem = searchable(entries).select("id", similarity.alias("score")).where(F.col("score") >= floor).withColumn("q", F.lit(0))
-    return ranking.top_k(ranking.fuse([lex, ranking.rank_in(sem, ["q"], "score", "id")], ["q"], "id").select("id", "score"), k, "score", "id")
+    semantic = searchable(entries).select("id", similarity.alias("score")).where(F.col("score") >= floor)
+    return search.fused_top([lexical(entries, words, category), semantic], "id", k)
 
 
 def rerank(df: DataFrame, first: str, second: Column, recall: int, k: int, tie: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import graph, joins, ranking
+from parley.operators import graph, joins, ranking, search
 from parley.plans.catalogue import query
-from parley.plans.tables import table
+from parley.plans.tables import shared_folder, table
 
 #: Cosine in SQL, in double precision.
 COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
@@ -112,8 +112,8 @@ def cosine_topk(spark, sf_dir):
 
 @query(f"""SELECT a.vec_id AS a, b.vec_id AS b, {COS.format(a='a.embedding', b='b.embedding')} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.35""")
 def knn_pairs(spark, sf_dir):
-    """Pairs above a similarity, by blocks."""
-    return ranking.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
+    """Pairs above a similarity, in the cells of pivots."""
+    return search.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
 
 
 @query(f"""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3), s AS (SELECT vec_id, label, {COS.format(a='embedding', b='q')} AS sem, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE abs(vec_id % 30 - 5) END AS days FROM embeddings, q)
@@ -132,7 +132,34 @@ def keyword_search(spark, sf_dir):
     """Conversations by shared tokens, three for each query."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens("text").alias("tokens"))
     d = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.explode(X.tokens("text")).alias("token")).groupBy("doc_id").agg(F.collect_set("token").alias("tokens"))
-    return ranking.rank_in(ranking.keyword_scores(d, q), ["query_id"], "score", "doc_id", 3).select("query_id", "doc_id", "score", "rank")
+    return search.keyword_top(search.keyword_index(d), q, 3).select("query_id", "doc_id", "score", "rank")
+
+
+@query("""WITH t AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]{2,})', 1)) AS t FROM documents) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM t GROUP BY t), w AS (SELECT doc_id, t, floor(64 * ln(1 + 1000 / df) * (1 + ln(tf))) + 1 AS w FROM t JOIN f USING (t)),
+q AS (SELECT DISTINCT item_id AS query_id, t FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]{2,})', 1)) AS t FROM benchmark)),
+s AS (SELECT query_id, doc_id, sum(w)::DOUBLE AS score FROM q JOIN w USING (t) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def weighted_search(spark, sf_dir):
+    """Documents by the weights of shared tokens, over blocks of postings that can reach the five best of a query."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens("text").alias("tokens"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,})"), F.lit(1)).alias("tokens"))
+    weight = F.floor(64 * F.log(1 + 1000 / F.col("df")) * (1 + F.log("tf"))) + 1
+    return search.keyword_top(search.keyword_index(d, weight), q, 5).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, {COS.format(a='a.embedding', b='b.embedding')} AS similarity, list_sort(list_intersect(['l' || a.label, 'm' || a.vec_id % 3], ['l' || b.label, 'm' || b.vec_id % 3])) AS shared FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE similarity >= 0.3 ORDER BY similarity DESC, a, b LIMIT 10""")
+def semantic_clusters(spark, sf_dir):
+    """The ten most similar pairs with their shared topics."""
+    e = table(spark, sf_dir, "embeddings").withColumn("topics", F.array(F.concat(F.lit("l"), "label"), F.concat(F.lit("m"), F.col("vec_id") % 3)))
+    return search.semantic_clusters(e, "vec_id", "embedding", "topics", 0.3).withColumn("shared", F.array_sort("shared"))
+
+
+@query()
+def index_search(spark, sf_dir):
+    """The ten nearest of every fiftieth vector from an index that was written, appended to and loaded; recall is checked in the tests."""
+    e, path = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), shared_folder(spark, "cells")
+    search.append_index(search.build_index(e.where("vec_id % 4 <> 0"), path, 16), e.where("vec_id % 4 = 0"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.search_index(search.load_index(spark, path), queries, "vec_id", 10, 10)
 
 
 @query("""WITH a AS (SELECT l_suppkey AS k, l_partkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS rank FROM lineitem GROUP BY l_suppkey, l_partkey), b AS (SELECT l_suppkey AS k, l_partkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_extendedprice) DESC, l_partkey) AS rank FROM lineitem GROUP BY l_suppkey, l_partkey),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -43,11 +46,19 @@ EVENT_ROWS = """ev AS (
   SELECT user_id AS conv_id, event_id AS seq, epoch_us(ts) // 1000000 AS ts, event_type AS speaker, event_type || ' ' || (props::JSON->>'$.k') AS text_raw, value, ts AS time FROM events)"""
 
 
+@functools.cache
+def _local_folder() -> str:
+    """A folder of this process, deleted when it ends."""
+    folder = tempfile.mkdtemp(prefix="parley-files-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; in local mode without that setting a temporary one."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        have = f"file://{tempfile.gettempdir()}/parley-files"
+        have = f"file://{_local_folder()}"
     return f"{have.rstrip('/')}/{name}-{uuid.uuid4().hex}"
