@@ -5,9 +5,6 @@ Every window is partitioned by the conversation and ordered by (ts, seq), seq be
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +12,7 @@ from pyspark.sql import functions as F
 from parley.functions import lexicons as L
 from parley.functions.text import HAN, contains_any, han_runs
 from parley.functions.times import describe_gap
-from parley.operators import numbering
+from parley.operators import folds, numbering
 
 
 def by(conv: str = "conv_id", *order: str):
@@ -112,33 +109,22 @@ def gap_kind_by_keywords(before: str, after: str, seconds: str, conflict: list[s
 def merge_rapid_fire(df: DataFrame, within: int = 60, separator: str = " | ", rapid: int = 10, max_chars: int = 20, burst: str = "[!！?？]{2,}") -> DataFrame:
     """The second merge variant: rows are not merged while the whole run so far, with the next row, is short and rapid.
 
-    Whether a row joins depends on all rows of the open group, so a group is folded row by row; only the few numbers the
-    rule needs travel to the fold. df: conv_id, seq, ts, speaker, modality, text_raw. Gives conv_id, seq (first), ts,
-    speaker, modality, text_raw, merged_count.
+    A run stays calm over short and rapid rows, and any other row says anew whether it is, so the state before a row is
+    that after the last row which decides it. df: conv_id, seq, ts, speaker, modality, text_raw. Gives conv_id, seq (first),
+    ts, speaker, modality, text_raw, merged_count. A conversation may be of any length; only merged rows come together.
     """
-    flags = df.select("conv_id", "seq", "ts", "speaker", F.col("modality").alias("modality"), F.length(F.coalesce("text_raw", F.lit(""))).alias("chars"), F.coalesce("text_raw", F.lit("")).rlike(burst).alias("burst"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        group, out, calm = 0, [], True
-        last = None
-        for r in rows.itertuples():
-            joins = False
-            if last is not None and last.speaker == r.speaker and last.modality == "text" and r.modality == "text" and pd.notna(r.ts) and pd.notna(last.ts) and r.ts - last.ts <= within and not (last.burst or r.burst):
-                calm_next = calm and r.chars <= max_chars and r.ts - last.ts <= rapid
-                joins = not calm_next
-                if joins:
-                    calm = False
-            if not joins:
-                group, calm = r.seq, r.chars <= max_chars
-            out.append(group)
-            last = r
-        return pd.DataFrame({"conv_id": rows.conv_id, "seq": rows.seq, "group": out})
-
-    key_type, seq_type = df.schema["conv_id"].dataType.simpleString(), df.schema["seq"].dataType.simpleString()
-    groups = flags.groupBy("conv_id").applyInPandas(fold, f"conv_id {key_type}, seq {seq_type}, group {seq_type}")
-    rows = F.sort_array(F.collect_list(F.struct("seq", "ts", "speaker", "modality", "text_raw")))
-    merged = df.join(groups, ["conv_id", "seq"]).groupBy("conv_id", "group").agg(rows.alias("m"))
+    rows = folds.dealt(df.select("conv_id", "seq", "ts", "speaker", "modality", "text_raw"), "conv_id", ["seq"])
+    text = F.coalesce("text_raw", F.lit(""))
+    rows = rows.withColumn("chars", F.length(text)).withColumn("burst", text.rlike(burst))
+    rows = folds.last_known(rows, "conv_id", {"b": F.struct("ts", "speaker", "modality", "burst")}, current=False)
+    gap = F.col("ts") - F.col("b.ts")
+    able = F.col("b").isNotNull() & F.col("b.speaker").eqNullSafe(F.col("speaker")) & (F.col("b.modality") == "text") & (F.col("modality") == "text") & (gap <= within) & ~F.col("b.burst") & ~F.col("burst")
+    rows = rows.withColumn("able", F.coalesce(able, F.lit(False))).withColumn("short", F.col("chars") <= max_chars).withColumn("quick", F.col("able") & F.col("short") & (gap <= rapid))
+    calm = F.when(~F.col("able"), F.col("short")).when(~F.col("quick"), F.lit(False))
+    rows = folds.last_known(rows, "conv_id", {"calm": calm}, current=False)
+    joins = F.col("able") & ~(F.col("quick") & F.col("calm"))
+    rows = folds.last_known(rows, "conv_id", {"group": F.when(~joins, F.col("seq"))}, current=True)
+    merged = rows.groupBy("conv_id", "group").agg(F.sort_array(F.collect_list(F.struct("seq", "ts", "speaker", "modality", "text_raw"))).alias("m"))
     first = F.element_at("m", 1)
     texts = F.filter(F.transform("m", lambda x: x["text_raw"]), lambda t: t != "")
     text = F.when(F.size("m") == 1, first["text_raw"]).otherwise(F.array_join(texts, separator))
@@ -171,29 +157,19 @@ def segment_by_events(df: DataFrame, least: int = 10, most: int = 20, gap: int =
     """df (conv_id, seq, ts, sentiment) with `segment`: split at `most` rows, or from `least` rows on at a gap or a shift of sentiment.
 
     A last segment shorter than `least` joins the one before if both fit into `most`, else its rows get null. The split
-    depends on the length so far, so a conversation is folded row by row over four numbers a row.
+    depends on the length so far, see folds.run_lengths; a conversation may be of any length.
     """
-    key, seq = df.schema["conv_id"].dataType.simpleString(), df.schema["seq"].dataType.simpleString()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        segments: list[list] = [[]]
-        last = None
-        for r in rows.itertuples():
-            now = segments[-1]
-            if now and (len(now) >= most or (len(now) >= least and (r.ts - last.ts >= gap or abs(r.sentiment - last.sentiment) >= shift))):
-                segments.append([])
-            segments[-1].append(r.seq)
-            last = r
-        if len(segments[-1]) < least:
-            tail = segments.pop()
-            if segments and len(segments[-1]) + len(tail) <= most:
-                segments[-1] += tail
-        number = {s: k for k, seg in enumerate(segments) for s in seg}
-        return pd.DataFrame({"conv_id": rows.conv_id, "seq": rows.seq, "segment": pd.array([number.get(s) for s in rows.seq], "Int64")})
-
-    folded = df.select("conv_id", "seq", "ts", "sentiment").groupBy("conv_id").applyInPandas(fold, f"conv_id {key}, seq {seq}, segment long")
-    return df.join(folded, ["conv_id", "seq"])
+    rows = folds.last_known(folds.dealt(df, "conv_id", ["seq"]), "conv_id", {"__b": F.struct("ts", "sentiment")}, current=False)
+    breaks = (F.col("ts") - F.col("__b.ts") >= gap) | (F.abs(F.col("sentiment") - F.col("__b.sentiment")) >= shift)
+    rows = rows.withColumn("__break", F.coalesce(breaks, F.lit(False)))
+    segments = folds.run_lengths(rows, "conv_id", "__break", most, lambda length, mark: (length >= most) | ((length >= least) & mark))
+    cut = rows.join(segments, [folds.PIECE, folds.AT])
+    sizes = cut.groupBy(F.col("conv_id").alias("__c"), "segment").agg(F.count("*").alias("n"))
+    last = sizes.groupBy("__c").agg(F.max(F.struct("segment", "n")).alias("last"))
+    ends = last.join(sizes.select(F.col("__c").alias("__d"), F.col("segment").alias("__s"), F.col("n").alias("__n")), F.col("__c").eqNullSafe(F.col("__d")) & (F.col("__s") == F.col("last.segment") - 1), "left")
+    ends = ends.where(F.col("last.n") < least).select("__c", F.col("last.segment").alias("__tail"), F.when(F.col("__n") + F.col("last.n") <= most, F.col("last.segment") - 1).alias("__to"))
+    out = cut.join(ends, cut["conv_id"].eqNullSafe(F.col("__c")) & (F.col("segment") == F.col("__tail")), "left")
+    return out.select(*df.columns, F.when(F.col("__tail").isNull(), F.col("segment")).otherwise(F.col("__to")).alias("segment"))
 
 
 def dense_ids(df: DataFrame, uid: str, seq: str) -> DataFrame:

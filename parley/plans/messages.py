@@ -130,14 +130,22 @@ def gap_sessions(spark, sf_dir):
     return timeline.sessions(event_rows(spark, sf_dir), 21600).groupBy("conv_id", F.col("island").cast("long").alias("island")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENT_ROWS}, o AS (SELECT conv_id, seq, row_number() OVER w AS rn, coalesce(ts - lag(ts) OVER w >= 21600 OR abs((value - 50) / 50 - (lag(value) OVER w - 50) / 50) >= 0.5, false) AS brk FROM ev WINDOW w AS (PARTITION BY conv_id ORDER BY seq)),
+f AS (SELECT conv_id, seq, rn, 1 AS len, 0 AS seg FROM o WHERE rn = 1
+  UNION ALL SELECT o.conv_id, o.seq, o.rn, CASE WHEN f.len >= 10 OR f.len >= 5 AND o.brk THEN 1 ELSE f.len + 1 END, f.seg + (f.len >= 10 OR f.len >= 5 AND o.brk)::INT FROM f JOIN o ON o.conv_id = f.conv_id AND o.rn = f.rn + 1),
+z AS (SELECT conv_id, seg, count(*) AS n, max(seg) OVER (PARTITION BY conv_id) AS last FROM f GROUP BY conv_id, seg), y AS (SELECT *, lag(n) OVER (PARTITION BY conv_id ORDER BY seg) AS before FROM z),
+t AS (SELECT f.conv_id, f.seq, CASE WHEN f.seg = y.last AND y.n < 5 THEN CASE WHEN y.before + y.n <= 10 THEN f.seg - 1 END ELSE f.seg END AS segment FROM f JOIN y ON y.conv_id = f.conv_id AND y.seg = f.seg)
+SELECT conv_id, segment::BIGINT AS segment, count(*) AS n, min(seq) AS first_seq FROM t GROUP BY conv_id, segment""")
 def event_segments(spark, sf_dir):
-    """Splits that depend on the length so far; checked against a plain loop in the tests."""
+    """Splits that depend on the length so far."""
     rows = event_rows(spark, sf_dir).withColumn("sentiment", (F.col("value") - 50) / 50)
     return timeline.segment_by_events(rows.select("conv_id", "seq", "ts", "sentiment"), 5, 10, 21600, 0.5).groupBy("conv_id", "segment").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-@query()
+@query(f"""WITH {EVENT_ROWS}, r AS (SELECT *, length(text_raw) <= 20 AS short, regexp_matches(text_raw, '[!！?？]{{2,}}') AS burst FROM ev), b AS (SELECT *, ts - lag(ts) OVER w AS gap, lag(speaker) OVER w = speaker AND NOT burst AND NOT lag(burst) OVER w AS same FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY seq)),
+a AS (SELECT *, coalesce(same AND gap <= 21600, false) AS able FROM b), q AS (SELECT *, able AND short AND gap <= 3600 AS quick FROM a),
+c AS (SELECT *, last_value(CASE WHEN NOT able THEN short WHEN NOT quick THEN false END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS calm FROM q),
+g AS (SELECT *, sum((NOT (able AND NOT (quick AND calm)))::INT) OVER (PARTITION BY conv_id ORDER BY seq) AS g FROM c) SELECT conv_id, min(seq) AS seq, count(*)::INT AS merged_count FROM g GROUP BY conv_id, g""")
 def rapid_fire_merge(spark, sf_dir):
     """The merge variant with a rule over the open group."""
     return timeline.merge_rapid_fire(event_rows(spark, sf_dir), within=21600, rapid=3600).select("conv_id", "seq", "merged_count")
