@@ -1,16 +1,12 @@
-"""Structured Streaming over events: sessions, windows, rates, guarded token emission, upserts.
+"""Structured Streaming over events: sessions, windows, rates, audit sink; see state for rules with a state.
 
 Late events are dropped behind the watermark; on a bounded input the closed windows equal the batch result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream(spark, path: str, schema, max_files: int = 1) -> DataFrame:
@@ -30,83 +26,6 @@ def windows(events: DataFrame, keys: list[str], size: str, slide: str | None = N
     return rows.groupBy(*keys, F.window("ts", size, slide).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
-def _flush(buffer: str, threshold: int, ends: str) -> tuple[list[str], str]:
-    pieces = []
-    while buffer:
-        stop = next((i + 1 for i, c in enumerate(buffer) if c in ends), None)
-        if stop is None and len(buffer) < threshold:
-            break
-        stop = min(stop or threshold, threshold) if len(buffer) >= threshold else stop
-        pieces.append(buffer[:stop])
-        buffer = buffer[stop:]
-    return pieces, buffer
-
-
-def guarded_tokens(tokens: DataFrame, threshold: int = 16, ends: str = ".!?\n", banned: dict[str, str] | None = None) -> DataFrame:
-    """(session_id, piece): tokens (session_id, seq, token, is_last) buffered per session until a sentence ends or the
-    buffer reaches `threshold` characters; banned words are replaced in each piece; the rest follows with the last token."""
-    banned = banned or {}
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer = state.get[0] if state.exists else ""
-        out, done = [], False
-        for frame in frames:
-            for r in frame.sort_values("seq").itertuples():
-                pieces, buffer = _flush(buffer + (r.token or ""), threshold, ends)
-                out += pieces
-                done = done or bool(r.is_last)
-        if done and buffer:
-            out.append(buffer)
-            buffer = ""
-        if done:
-            state.remove()
-        else:
-            state.update((buffer,))
-        clean = []
-        for piece in out:
-            for word, new in banned.items():
-                piece = piece.replace(word, new)
-            clean.append(piece)
-        yield pd.DataFrame({"session_id": [key[0]] * len(clean), "piece": clean})
-
-    return tokens.groupBy("session_id").applyInPandasWithState(run, "session_id long, piece string", "buffer string", "append", GroupStateTimeout.NoTimeout)
-
-
-def last_turns(turns: DataFrame, keep: int) -> DataFrame:
-    """(conv_id, turn, context): each turn with the last `keep` texts of its conversation; a bounded buffer per conversation."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values("turn").itertuples():
-                held = [*held, r.text or ""][-keep:]
-                rows.append((key[0], r.turn, "\n".join(held)))
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "context"])
-        state.update((held,))
-
-    return turns.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, turn long, context string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def phases(events: DataFrame, order: list[str]) -> DataFrame:
-    """(session_id, phase, seq): phase changes of a session; an event moves a session to a later phase only."""
-    place = {p: i for i, p in enumerate(order)}
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else -1
-        rows = []
-        for frame in frames:
-            for r in frame.sort_values("seq").itertuples():
-                to = place.get(r.phase, -1)
-                if to > now:
-                    now = to
-                    rows.append((key[0], r.phase, r.seq))
-        state.update((now,))
-        yield pd.DataFrame(rows, columns=["session_id", "phase", "seq"])
-
-    return events.groupBy("session_id").applyInPandasWithState(run, "session_id long, phase string, seq long", "phase int", "append", GroupStateTimeout.NoTimeout)
-
-
 def append_audit(events: DataFrame, path: str, checkpoint: str):
     """Append events to day folders; exactly once by the file sink's log."""
     return events.withColumn("day", F.date_format("ts", "yyyyMMdd")).writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
