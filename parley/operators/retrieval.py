@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.functions import text as text_functions
 from parley.functions.text import contains_any
 from parley.operators import ranking, search
 
@@ -22,6 +23,50 @@ def day_range(chunks: DataFrame, first: int, last: int) -> DataFrame:
     return chunks.where(F.exists("days", lambda d: d.between(first, last)))
 
 
+def search_days(chunks: DataFrame, first: int, last: int, mode: str = "exact", similarity: Column | None = None, k: int = 50, ts: str = "ts") -> DataFrame:
+    """The k chunks of a range of days with their `score`.
+
+    `exact`: 1, in order of time. `semantic`: the similarity. `hybrid`: of the 2k most similar, 0.7 similarity +
+    0.3 / (1 + 0.1 d), d being the days from the chunk's last day of the range to the range's end. Ties by chunk_id.
+    """
+    inside = day_range(chunks, first, last)
+    if mode == "exact":
+        return inside.withColumn("score", F.lit(1.0)).orderBy(ts, "chunk_id").limit(k)
+    scored = inside.withColumn("score", similarity).where("score is not null")
+    if mode == "semantic":
+        return ranking.top_k(scored, k, "score", "chunk_id")
+    latest = F.array_max(F.filter("days", lambda d: d.between(first, last)))
+    near = ranking.top_k(scored, 2 * k, "score", "chunk_id")
+    return ranking.top_k(near.withColumn("score", 0.7 * F.col("score") + 0.3 / (1 + 0.1 * (last - latest))), k, "score", "chunk_id")
+
+
+def strategy(intents: DataFrame, intent: str, strategies: dict[str, dict]) -> DataFrame:
+    """intents with the columns of their intent's strategy: k, rerank and need, a word that results must hold, or null."""
+    names = {"k": "int", "rerank": "boolean", "need": "string"}
+    pick = lambda name, kind: F.coalesce(*[F.when(F.col(intent) == i, F.lit(s.get(name)).cast(kind)) for i, s in strategies.items()], F.lit(strategies.get("", {}).get(name)).cast(kind)).alias(name)
+    return intents.select("*", *[pick(name, kind) for name, kind in names.items()])
+
+
+def smart_search(questions: DataFrame, chunks: DataFrame, intents: dict[str, list[str]], strategies: dict[str, dict], rewrites: dict[str, str], recall: int = 20) -> DataFrame:
+    """(question_id, intent, chunk_id, score, rank) for a table of questions (question_id, text).
+
+    Each question gets its intent, the first of which a word occurs, and with it a strategy; its words are rewritten, from a
+    word to the words that stand for it; the `recall` best chunks (chunk_id, text, tokens) by shared words are found over the
+    scored index, and with `rerank` ordered anew by the share of the question's words that stand in the chunk's text. Chunks
+    without the strategy's word are left out, and the first k stay.
+    """
+    told = strategy(questions.withColumn("intent", text_functions.first_label("text", intents, "")), "intent", strategies)
+    words = text_functions.tokens("text")
+    wider = F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), *[F.when(w == a, F.array(F.lit(b))).otherwise(F.array().cast("array<string>")) for a, b in rewrites.items()]))))
+    told = told.withColumn("tokens", wider)
+    found = search.keyword_top(search.keyword_index(chunks.select(F.col("chunk_id").alias("doc_id"), "tokens")), told.select(F.col("question_id").alias("query_id"), "tokens"), recall)
+    rows = found.join(told.select(F.col("question_id").alias("query_id"), "intent", "k", "rerank", "need", "tokens"), "query_id").join(chunks.select(F.col("chunk_id").alias("doc_id"), F.lower("text").alias("body")), "doc_id")
+    hits = F.size(F.filter("tokens", lambda w: F.contains(F.col("body"), w)))
+    rows = rows.withColumn("score", F.when(F.coalesce("rerank", F.lit(False)), hits / F.size("tokens")).otherwise(F.col("score"))).where("need is null or contains(body, need)")
+    ranked = ranking.rank_in(rows.drop("rank"), ["query_id"], "score", "doc_id").where(F.col("rank") <= F.coalesce("k", F.lit(recall)))
+    return ranked.select(F.col("query_id").alias("question_id"), "intent", F.col("doc_id").alias("chunk_id"), "score", "rank")
+
+
 def by_type(chunks: DataFrame, kind: str) -> DataFrame:
     return chunks.where(F.col("type") == kind)
 

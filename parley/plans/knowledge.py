@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from parley.functions import dates
+from parley.functions import dates, text
 from parley.operators import chunks, inference, joins, ranking, reports, retrieval, scoring, timeline
 from parley.plans.catalogue import query
 from parley.plans.messages import LABELS
@@ -37,6 +37,34 @@ def day_range_type(spark, sf_dir):
     return retrieval.by_type(retrieval.time_filter(_chunks(spark, sf_dir), "days_20-25", 60), "user").select("chunk_id")
 
 
+_SHARE = "(contains(text, 'the')::INT + contains(text, 'and')::INT + contains(text, 'ing')::INT + contains(text, 'que')::INT) / 4.0::DOUBLE"
+
+
+@query(f"""WITH {_CHUNKS}, s AS (SELECT chunk_id, list_max(list_filter(days, lambda d: d BETWEEN 10 AND 30)) AS day, {_SHARE} AS sim FROM c WHERE len(list_filter(days, lambda d: d BETWEEN 10 AND 30)) > 0), n AS (SELECT * FROM s ORDER BY sim DESC, chunk_id LIMIT 30)
+SELECT chunk_id, 0.7::DOUBLE * sim + 0.3::DOUBLE / (1 + 0.1::DOUBLE * (30 - day)) AS score FROM n ORDER BY score DESC, chunk_id LIMIT 15""")
+def day_range_hybrid(spark, sf_dir):
+    """Chunks of a range of days by similarity and nearness to its end."""
+    share = sum(F.contains("text", F.lit(w)).cast("int") for w in ("the", "and", "ing", "que")) / 4.0
+    return retrieval.search_days(_chunks(spark, sf_dir), 10, 30, "hybrid", share, 15).select("chunk_id", "score")
+
+
+_ASK = "list_sort(list_distinct(regexp_extract_all(lower({0}), '([a-z0-9]{{2,}})', 1)))"
+
+
+@query(f"""WITH {_CHUNKS}, q AS (SELECT item_id, CASE WHEN contains(text, 'tion') THEN 'why' WHEN contains(text, 'the') THEN 'what' ELSE '' END AS intent, {_ASK.format('text')} AS w FROM benchmark),
+x AS (SELECT item_id, intent, list_distinct(list_concat(w, CASE WHEN list_contains(w, 'the') THEN ['der'] ELSE [] END)) AS w, CASE intent WHEN 'why' THEN 3 WHEN 'what' THEN 2 ELSE 1 END AS k, intent = 'why' AS rerank, CASE WHEN intent = 'what' THEN 'and' END AS need FROM q),
+t AS (SELECT item_id, unnest(w) AS t FROM x), d AS (SELECT chunk_id, unnest({_ASK.format('text')}) AS t FROM c), h AS (SELECT item_id, chunk_id, count(*)::DOUBLE AS score FROM t JOIN d USING (t) GROUP BY ALL),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 20),
+s AS (SELECT f.item_id, x.intent, f.chunk_id, x.k, CASE WHEN x.rerank THEN len(list_filter(x.w, lambda v: contains(lower(c.text), v)))::DOUBLE / len(x.w) ELSE f.score END AS score FROM f JOIN x USING (item_id) JOIN c USING (chunk_id) WHERE x.need IS NULL OR contains(lower(c.text), x.need))
+SELECT item_id AS question_id, intent, chunk_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id))::INT AS rank FROM s QUALIFY rank <= k""")
+def smart_search(spark, sf_dir):
+    """Intent, strategy, rewriting, search, reranking and filters for a table of questions."""
+    chunks_ = _chunks(spark, sf_dir).withColumn("tokens", text.tokens("text"))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    strategies = {"why": {"k": 3, "rerank": True}, "what": {"k": 2, "rerank": False, "need": "and"}, "": {"k": 1}}
+    return retrieval.smart_search(questions, chunks_, {"why": ["tion"], "what": ["the"]}, strategies, {"the": "der"})
+
+
 @query(f"WITH {_CHUNKS}, d AS (SELECT unnest(days) AS day, chunk_id, left(text, 100) AS p FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY chunk_id) AS r, count(*) OVER (PARTITION BY day) AS n FROM d) SELECT day::INT AS day, any_value(n) AS n, list(p ORDER BY r) AS previews FROM r WHERE r <= 5 GROUP BY day")
 def day_timeline(spark, sf_dir):
     """Chunks by day with previews."""

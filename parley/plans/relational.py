@@ -232,3 +232,35 @@ def pricing_summary(spark, sf_dir):
     """conditional sums in one pass."""
     l = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")  # noqa: E741
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base_price"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sum_disc_price"), F.avg("l_quantity").alias("avg_qty"), F.count("*").alias("count_order"))
+
+
+def _questions(spark, sf_dir):
+    """Seeds by rank and bridges of ten questions."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    seeds = v.where("id % 50 < 10 and id < 150").select((F.col("id") % 50).alias("group"), "id", (F.floor(F.col("id") / 50) + 1).cast("int").alias("rank"))
+    return seeds, v.where("id % 37 < 10").select((F.col("id") % 37).alias("group"), "id")
+
+
+_QUESTIONS = """q AS (SELECT vec_id % 50 AS g, vec_id AS id, vec_id // 50 + 1 AS rank FROM embeddings WHERE vec_id % 50 < 10 AND vec_id < 150), b AS (SELECT vec_id % 37 AS g, vec_id AS id FROM embeddings WHERE vec_id % 37 < 10)"""
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, {_QUESTIONS}, w AS (SELECT g, id, 0 AS distance FROM q UNION SELECT w.g, s.dst, w.distance + 1 FROM w JOIN s ON s.src = w.id WHERE w.distance < 3), m AS (SELECT g, id, min(distance)::INT AS distance FROM w GROUP BY ALL)
+SELECT m.distance, count(*) AS n FROM b LEFT JOIN m ON m.g = b.g AND m.id = b.id GROUP BY m.distance""")
+def graph_bridges(spark, sf_dir):
+    """How far the bridges of all questions lie from their seeds, in one run."""
+    seeds, bridges = _questions(spark, sf_dir)
+    return graph.bridge_lengths(_graph(spark, sf_dir)[1], seeds, bridges, 3)
+
+
+def _arm(name: str, hops: int) -> str:
+    return f"""SELECT '{name}' AS arm, g, id, rank FROM q UNION ALL SELECT '{name}', g, id, 3 + row_number() OVER (PARTITION BY g ORDER BY distance, degree DESC, id) AS rank FROM (SELECT g, id, min(distance) AS distance FROM w WHERE distance <= {hops} GROUP BY ALL HAVING min(distance) > 0) LEFT JOIN (SELECT src AS id, count(*) AS degree FROM s GROUP BY src) USING (id) QUALIFY rank <= 33"""
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, {_QUESTIONS}, w AS (SELECT g, id, 0 AS distance FROM q UNION SELECT w.g, s.dst, w.distance + 1 FROM w JOIN s ON s.src = w.id WHERE w.distance < 2),
+a AS (SELECT 'seeds' AS arm, g, id, rank FROM q UNION ALL {_arm('one hop', 1)} UNION ALL {_arm('two hops', 2)}), h AS (SELECT arm, g, count(*) AS hits FROM a JOIN b USING (g, id) WHERE rank <= 25 GROUP BY ALL), n AS (SELECT g, count(*) AS n FROM b GROUP BY g)
+SELECT arm, avg(coalesce(hits, 0) / n) AS recall FROM (SELECT DISTINCT arm FROM a) CROSS JOIN n LEFT JOIN h USING (arm, g) GROUP BY arm""")
+def graph_arms(spark, sf_dir):
+    """Recall of the bridges from seeds alone and with nodes one and two hops away."""
+    edges, (seeds, bridges) = _graph(spark, sf_dir)[1], _questions(spark, sf_dir)
+    arms = {"seeds": seeds, "one hop": graph.expand_groups(edges, seeds, 1, 30), "two hops": graph.expand_groups(edges, seeds, 2, 30)}
+    return graph.arm_recall(arms, bridges, 25)
