@@ -34,6 +34,8 @@ class Engine:
                 rows = read(self.spark, path, manifest.mapping, "CSV", manifest.participants)
             elif manifest.source_type == "jsonl":
                 rows = read(self.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in messages.CANONICAL))
+            elif manifest.source_type == "mapped_jsonl":
+                rows = read(self.spark, path, manifest.mapping, "JSONL", manifest.participants)
             elif manifest.source_type == "html":
                 rows = read(self.spark, path, path.rsplit(".", 1)[0] + ".csv", [k for k, v in manifest.participants.items() if v == "ME"])
             else:

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import dates, text, times
-from parley.operators import chunks, fusion, inference, joins, links, media, messages, privacy, reports, retrieval, scoring, timeline
+from parley.operators import chunks, fusion, inference, joins, links, media, messages, privacy, reports, retrieval, review, scoring, timeline
 from parley.plans.catalogue import query
 from parley.plans.knowledge import _CHUNKS, _ENTRIES, _chunks, _entries
-from parley.plans.tables import TURNS, shared_folder, table, turns
+from parley.plans.tables import EVENT_ROWS, TURNS, event_rows, shared_folder, table, turns
 from parley.sources import datasets, files, sinks
 
 
@@ -591,3 +591,112 @@ def knowledge_read_back(spark, sf_dir):
     b.write.json(path + "/a.jsonl")
     out = spark.read.schema(datasets.KNOWLEDGE).option("recursiveFileLookup", True).json(path)
     return out.select("id", "question", "keywords")
+
+
+@query("SELECT 'J:' || (3 * row_number() OVER (ORDER BY conv_id, turn) - 2) AS msg_uid, conv_id * 1000 + turn AS ts, CASE role WHEN 'user' THEN 'ME' ELSE 'OTHER:' || role END AS speaker, nullif(text, '') AS text_raw FROM conversations")
+def mapped_lines_read_back(spark, sf_dir):
+    """JSON lines by a field mapping, each followed by a line that is no JSON, an array and a blank one."""
+    path = shared_folder(spark, "mapped")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("when"), F.col("role").alias("who"), F.col("text").alias("what"))).alias("j"))
+    c.orderBy("conv_id", "turn").coalesce(1).select(F.concat("j", F.lit("\n{bad\n[1]\n   ")).alias("value")).write.text(path)
+    return files.mapped_jsonl(spark, path, {"when": "ts", "who": "speaker", "what": "text_raw"}, "J", {"user": "ME"}).select("msg_uid", "ts", "speaker", "text_raw")
+
+
+def _review(spark, sf_dir):
+    """Analysed conversations: documents with their labels."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    decision = F.when(F.col("doc_id") % 5 == 0, "approve").when(F.col("doc_id") % 5 == 1, "reject")
+    return d.join(l, "doc_id").select(F.col("doc_id").alias("id"), F.col("text").alias("conversation"), (F.col("quality") == 1).alias("passed"), decision.alias("human_decision"), F.concat("lang", F.lit(" from "), "source").alias("analysis"), F.array("lang", "source").alias("suggestions"), (F.col("doc_id") % 3 == 0).alias("reviewed"))
+
+
+_REVIEW = "r AS (SELECT doc_id AS id, text AS conversation, quality = 1 AS passed, CASE doc_id % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' END AS human_decision, lang || ' from ' || source AS analysis, [lang, source] AS suggestions, doc_id % 3 = 0 AS reviewed FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {_REVIEW} SELECT id, left(coalesce(conversation, ''), 200) AS preview FROM r WHERE NOT passed AND human_decision IS DISTINCT FROM 'approve'")
+def review_failed(spark, sf_dir):
+    """Items that neither the model nor a human passed."""
+    return review.review_items(_review(spark, sf_dir), "failed").select("id", "preview")
+
+
+@query(f"WITH {_REVIEW} SELECT count(*) AS total, count(*) FILTER (passed) AS ai_passed, count(*) FILTER (NOT passed) AS ai_failed, count(*) FILTER (human_decision = 'approve') AS human_approved, count(*) FILTER (human_decision = 'reject') AS human_rejected, count(*) FILTER (human_decision IS NULL) AS pending FROM r")
+def review_counts(spark, sf_dir):
+    """Items by state."""
+    return review.review_counts(_review(spark, sf_dir))
+
+
+@query(f"WITH {_REVIEW} SELECT id::VARCHAR AS id, md5(conversation) AS conversation, analysis, suggestions, reviewed FROM r")
+def review_round_trip(spark, sf_dir):
+    """Pages for review written as Markdown and read again."""
+    pages = _review(spark, sf_dir).select(review.to_markdown("id", "conversation", "analysis", "suggestions", "reviewed").alias("page"))
+    return pages.select(review.from_markdown("page").alias("r")).select("r.*").withColumn("conversation", F.md5("conversation"))
+
+
+@query(f"WITH {_REVIEW} SELECT 'You help.' || chr(10) || chr(10) || 'Say what this is.' AS instruction, md5(conversation) AS input, analysis AS output FROM r WHERE reviewed")
+def training_alpaca(spark, sf_dir):
+    """Reviewed samples as records of instruction, input and output."""
+    return review.training_records(_review(spark, sf_dir), "You help.", "Say what this is.", "alpaca", only_reviewed=True).withColumn("input", F.md5("input"))
+
+
+@query(f"WITH {_REVIEW} SELECT 3 AS n, 'system user assistant' AS roles, md5('Say what this is.' || chr(10) || chr(10) || conversation || analysis) AS digest FROM r")
+def training_chat(spark, sf_dir):
+    """Samples as chats of three messages."""
+    m = review.training_records(_review(spark, sf_dir), "You help.", "Say what this is.").select("messages")
+    return m.select(F.size("messages").alias("n"), F.array_join("messages.role", " ").alias("roles"), F.md5(F.concat(F.col("messages")[1]["content"], F.col("messages")[2]["content"])).alias("digest"))
+
+
+@query("SELECT 'c' || conv_id AS conversation_id, text AS conversation_text, '' AS timestamp, 'c' || conv_id AS chunk, role, turn::VARCHAR AS turn FROM conversations")
+def chunk_rows(spark, sf_dir):
+    """Chunks under common names, the rest as a map."""
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("chunk_id"), F.col("text").alias("conversation"), "role", "turn")
+    return review.chunk_rows(c).select("conversation_id", "conversation_text", "timestamp", F.col("metadata")["chunk_id"].alias("chunk"), F.col("metadata")["role"].alias("role"), F.col("metadata")["turn"].alias("turn"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 = 0 OR strftime(ts, '%Y-%m-%dT%H:%M:%S') >= strftime((SELECT max(ts) FROM events) - INTERVAL 3 DAY, '%Y-%m-%dT%H:%M:%S')")
+def recent_or_undated(spark, sf_dir):
+    """Rows of the last days, and those without a time."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = e.agg(F.max("ts")).first()[0]
+    at = F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return review.within_days(e.select("event_id", at.alias("at")), "at", F.lit(now), 3).select("event_id")
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def latest_results(spark, sf_dir):
+    """The latest result of each user."""
+    return review.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "value")
+
+
+@query(f"WITH {EVENT_ROWS} SELECT conv_id, event_day, list_sort(list(DISTINCT speaker)) AS agents, count(*) AS events, sum(length(text_raw))::BIGINT AS chars, min(ts) AS first, max(ts) AS last, max(ts) - min(ts) AS seconds FROM (SELECT *, ts // 86400 AS event_day FROM ev) GROUP BY conv_id, event_day")
+def round_summaries(spark, sf_dir):
+    """events of a session by round."""
+    e = event_rows(spark, sf_dir).withColumn("event_day", F.floor(F.col("ts") / 86400))
+    return review.rounds(e, ["conv_id", "event_day"], "ts", "speaker", "text_raw")
+
+
+@query("SELECT item_id FROM benchmark ORDER BY md5('7|' || item_id), item_id LIMIT 5")
+def quality_sample(spark, sf_dir):
+    """A sample for a look at the quality, the same for a seed."""
+    return review.quality_sample(table(spark, sf_dir, "benchmark"), "item_id", 5, 7).select("item_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 2 = 0 AND page_id % 3 <> 2 AND starts_with(url, 'http')")
+def sticker_rows(spark, sf_dir):
+    """Sticker messages with their addresses."""
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("raw/"), "url")).when(F.col("page_id") % 3 == 2, F.lit("no address"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, "sticker").otherwise("text").alias("modality"), F.lit(47).alias("type"), raw.alias("text_raw"), F.when(F.col("page_id") % 3 == 1, F.col("url")).alias("media_path"))
+    return review.stickers(p).select("page_id", "url")
+
+
+@query("SELECT s_name AS name FROM supplier ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN 99 ELSE s_suppkey % 11 END, s_name LIMIT 3")
+def hotline_list(spark, sf_dir):
+    """The first lines by priority."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") % 11).alias("priority"))
+    return review.hotlines(s).select("name")
+
+
+@query("SELECT l_orderkey, count(*) >= 3 AND count(*) FILTER (l_quantity > 1.2 * l_linenumber * 5) / count(*) > 0.6 AS turned FROM lineitem GROUP BY l_orderkey")
+def turned_pictures(spark, sf_dir):
+    """Pictures whose text boxes stand upright; a box is as high as a quantity and five times as wide as a number."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    box = F.array(point(F.lit(2), F.lit(1)), point(2 + 5 * F.col("l_linenumber"), F.lit(1)), point(F.lit(2), 1 + F.col("l_quantity")))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes")).select("l_orderkey", review.turned("boxes").alias("turned"))

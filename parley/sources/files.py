@@ -15,10 +15,16 @@ from parley.functions.times import CHAT_FORMATS, parse
 from parley.operators.messages import apply_mapping, map_code
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) from 1 within each file: a file is read as a whole, as splits do not know their line numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n\\z", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")
+def lines(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
+    """(file, line_no, line) from 1 within each file, without blank lines if not `blank`, which then have no numbers.
+
+    Splits of a file do not know their line numbers: each is counted, and its lines are numbered from the sum of those before.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    rows = (raw if blank else raw.where(F.trim("line") != "")).withColumn("id", F.monotonically_increasing_id())
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    return rows.join(blocks.withColumn("before", before).drop("n"), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, numbered: bool = False) -> DataFrame:
@@ -46,6 +52,23 @@ def mapped_csv(spark: SparkSession, path: str, mapping: dict[str, str], prefix:
     return out.withColumn("msg_uid", F.concat(F.lit(prefix + ":"), "__n")).drop("__n")
 
 
+def mapped_jsonl(spark: SparkSession, path: str, mapping: dict[str, str], prefix: str = "JSONL", participants: dict[str, str] | None = None) -> DataFrame:
+    """JSON lines by a field mapping, see apply_mapping: msg_uid is prefix:n, n counting the lines that are not blank, those
+    that are no JSON object too, though they give no row. Numbers that do not parse are 0. With participants, names without
+    one become OTHER:name."""
+    numbered = lines(spark, path, blank=False).withColumn("m", F.from_json(F.trim("line"), "map<string,string>")).where("m is not null")
+    sources = [k for k in mapping if not k.startswith(("_const:", "_default:"))]
+    rows = numbered.select(F.col("line_no").alias("__n"), *[F.col("m")[k].alias(k) for k in sources])
+    out = apply_mapping(rows, mapping | {"__n": "__n"})
+    for c in ("ts", "type", "sub_type"):
+        if c in out.columns:
+            out = out.withColumn(c, F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)))
+    if participants and "speaker" in out.columns:
+        named = F.col("speaker").isin("ME", "OTHER") | F.col("speaker").startswith("OTHER:")
+        out = out.withColumn("speaker", F.coalesce(map_code("speaker", participants), F.when(named, F.col("speaker")).otherwise(F.concat(F.lit("OTHER:"), "speaker"))))
+    return out.withColumn("msg_uid", F.concat(F.lit(prefix + ":"), "__n")).drop("__n")
+
+
 def telegram(spark: SparkSession, path: str, participants: dict[str, str] = {}) -> DataFrame:  # noqa: B006
     """Messages of a JSON export: mixed text arrays joined, dates to epoch seconds (0 if unreadable), modality by field."""
     doc = spark.read.schema("messages array<struct<id: long, type: string, date: string, `from`: string, text: variant, media_type: string, photo: string, file: string>>").option("multiLine", True).json(path)
@@ -151,7 +174,7 @@ def media_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 #: Registered readers by name.
-READERS = {"csv": mapped_csv, "jsonl": jsonl, "telegram": telegram, "chat_text": chat_text, "html": html_export}
+READERS = {"csv": mapped_csv, "jsonl": jsonl, "mapped_jsonl": mapped_jsonl, "telegram": telegram, "chat_text": chat_text, "html": html_export}
 
 
 def reader(name: str):
