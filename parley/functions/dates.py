@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,3 +121,13 @@ def days_to_dates(c: Column | str, day1: str, pattern: str = "第(\\d+)天") ->
 
 def day_reference_count(c: Column | str, pattern: str = "第(\\d+)天") -> Column:
     return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(pattern))
+
+
+def query_days_of(query: Column, day1: datetime.date, last_day: int) -> Column:
+    """query_days of each text of a column."""
+
+    @F.pandas_udf("array<int>")
+    def days(texts: pd.Series) -> pd.Series:
+        return pd.Series([query_days(t or "", day1, last_day) for t in texts])
+
+    return days(query)

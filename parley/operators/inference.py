@@ -14,8 +14,24 @@ from pyspark.sql import functions as F
 from parley.functions.text import json_block
 
 
-def apply_model(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 50) -> DataFrame:
-    """(key, output, error): `make` runs once per task and gives the model; a failing batch gives its error, not the job's end."""
+def _outputs(model: Callable[[list[str]], list[str]], texts: list[str], retries: int) -> list[tuple[str | None, str | None]]:
+    """(output, error) of each text: a failing batch is tried again, then in halves, so that only the texts that fail have an error."""
+    for attempt in range(retries + 1):
+        try:
+            return [(o, None) for o in model(texts)]
+        except Exception as e:  # a model's own failure belongs to the row
+            error = f"{type(e).__name__}: {e}"
+    if len(texts) == 1:
+        return [(None, error)]
+    half = len(texts) // 2
+    return _outputs(model, texts[:half], retries) + _outputs(model, texts[half:], retries)
+
+
+def apply_model(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 50, retries: int = 0) -> DataFrame:
+    """(key, output, error): `make` runs once per task and gives the model; a text that fails gives its error, not the job's end.
+
+    A batch that fails is tried `retries` times more and then halved.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,11 +39,8 @@ def apply_model(df: DataFrame, key: str, text: str, make: Callable[[], Callable[
         for frame in frames:
             for lo in range(0, len(frame), batch):
                 part = frame.iloc[lo : lo + batch]
-                try:
-                    out, error = model(part[text].fillna("").tolist()), None
-                except Exception as e:  # a model's own failure belongs to the row
-                    out, error = [None] * len(part), f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({key: part[key], "output": out, "error": error})
+                out = _outputs(model, part[text].fillna("").tolist(), retries)
+                yield pd.DataFrame({key: part[key].to_numpy(), "output": [o for o, _ in out], "error": [e for _, e in out]})
 
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, output string, error string")
 

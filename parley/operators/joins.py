@@ -61,7 +61,7 @@ def in_given_order(rows: DataFrame, key: str, ids: list) -> DataFrame:
     """Rows of the given ids with their place in the list."""
     spark = rows.sparkSession
     wanted = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], ["__id", "position"])
-    return rows.join(F.broadcast(wanted), F.col(key) == F.col("__id")).drop("__id")  # a list of the caller's
+    return rows.join(wanted, F.col(key) == F.col("__id")).drop("__id")
 
 
 def band(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, width: int) -> DataFrame:

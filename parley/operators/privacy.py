@@ -123,11 +123,11 @@ def risk_level(text: Column | str, tiers: dict[str, list[str]]) -> Column:
     return first_label(text, tiers, "NONE")
 
 
-def crisis(text: Column | str, exact: dict[str, list[str]], personal: dict[str, list[str]], selves: list[str], false_positives: list[str], reach: int = 4) -> Column:
+def crisis(text: Column | str, exact: dict[str, list[str]], personal: dict[str, list[str]], selves: list[str], false_positives: list[str], reach: int = 4, phrases: dict[str, list[tuple[str, bool]]] = {}) -> Column:  # noqa: B006
     """RED, ORANGE, YELLOW or GREEN: the severest tier of which a word occurs.
 
-    Words of `personal` count with a first-person word at most `reach` characters before them; a known harmless phrase
-    lowers RED and ORANGE by one level.
+    Words of `personal` count with a first-person word at most `reach` characters before them; `phrases` have a mark whether
+    a first-person word must stand anywhere in the text. A known harmless phrase lowers RED and ORANGE by one level.
     """
     from parley.functions.text import _any, contains_any
 
@@ -137,6 +137,8 @@ def crisis(text: Column | str, exact: dict[str, list[str]], personal: dict[str,
         hit = contains_any(t, exact.get(tier, []))
         if personal.get(tier) and selves:
             hit = hit | t.rlike(f"({_any(selves)}).{{0,{reach}}}({_any(personal[tier])})")
+        told = phrases.get(tier, [])
+        hit = hit | contains_any(t, [p for p, own in told if not own]) | (contains_any(t, [p for p, own in told if own]) & contains_any(t, list(selves)))
         level = F.when(hit, F.lit(n)).otherwise(level)
     level = F.when((level >= 2) & contains_any(t, false_positives), level - 1).otherwise(level)
     return F.element_at(F.array(*[F.lit(x) for x in ("GREEN", "YELLOW", "ORANGE", "RED")]), level + 1)

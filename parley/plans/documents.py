@@ -283,13 +283,13 @@ def ledger(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT doc_id, contains(text, 'stupid') AS harmless, CASE WHEN contains(text, 'scum') OR regexp_matches(text, '(the|er) .{0,4}(loser|clown)') THEN 3
-  WHEN contains(text, 'idiot') OR regexp_matches(text, '(the|er) .{0,4}(trash)') THEN 2 WHEN contains(text, 'clown') THEN 1 ELSE 0 END AS n FROM documents)
+    """WITH l AS (SELECT doc_id, contains(text, 'stupid') AS harmless, CASE WHEN contains(text, 'scum') OR regexp_matches(text, '(the|er) .{0,4}(loser|clown)') OR contains(text, 'moron') THEN 3
+  WHEN contains(text, 'idiot') OR regexp_matches(text, '(the|er) .{0,4}(trash)') OR contains(text, 'vermin') AND regexp_matches(text, 'the |er ') THEN 2 WHEN contains(text, 'clown') THEN 1 ELSE 0 END AS n FROM documents)
 SELECT doc_id, ['GREEN', 'YELLOW', 'ORANGE', 'RED'][n - (n >= 2 AND harmless)::INT + 1] AS level FROM l WHERE n IS NOT NULL"""
 )
 def crisis_levels(spark, sf_dir):
-    """Tiers of words, of words about oneself, and harmless phrases."""
-    level = privacy.crisis("text", {"RED": ["scum"], "ORANGE": ["idiot"], "YELLOW": ["clown"]}, {"RED": ["loser", "clown"], "ORANGE": ["trash"]}, ["the ", "er "], ["stupid"])
+    """Tiers of words, of words and phrases about oneself, and harmless phrases."""
+    level = privacy.crisis("text", {"RED": ["scum"], "ORANGE": ["idiot"], "YELLOW": ["clown"]}, {"RED": ["loser", "clown"], "ORANGE": ["trash"]}, ["the ", "er "], ["stupid"], phrases={"RED": [("moron", False)], "ORANGE": [("vermin", True)]})
     return table(spark, sf_dir, "documents").select("doc_id", level.alias("level"))
 
 

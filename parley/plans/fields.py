@@ -364,12 +364,14 @@ def day_references(spark, sf_dir):
     return rows.select("p_partkey", dates.days_to_dates("t", "2025-06-07").alias("text"), dates.day_reference_count("t").alias("n"))
 
 
-@query("SELECT day::INT AS day FROM (SELECT unnest([5, 6, 7, 9, 10]) AS day)")
+@query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN list_transform(range(turn + 1, turn + 4), lambda d: d::INT) WHEN 1 THEN [(conv_id % 20 + 1)::INT] ELSE list_transform(range(9 + turn % 5, 12 + turn % 5), lambda d: d::INT) END AS days FROM conversations""")
 def question_days(spark, sf_dir):
-    """The days of a question."""
+    """The days that a question before a turn's text names: a range of days, a day, or a range of dates of June."""
     import datetime
 
-    return spark.createDataFrame([(d,) for d in dates.query_days("第5天到第7天和6月16日到17日", datetime.date(2025, 6, 8), 60)], "day int")
+    days, day, dated = F.concat(F.lit("第"), F.col("turn") + 1, F.lit("天到第"), F.col("turn") + 3, F.lit("天")), F.concat(F.lit("第"), F.col("conv_id") % 20 + 1, F.lit("天")), F.concat(F.lit("6月"), 16 + F.col("turn") % 5, F.lit("日到"), 18 + F.col("turn") % 5, F.lit("日"))
+    asked = F.concat(F.when(F.col("conv_id") % 3 == 0, days).when(F.col("conv_id") % 3 == 1, day).otherwise(dated), F.lit("? "), F.regexp_replace("text", "\\d", ""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", dates.query_days_of(asked, datetime.date(2025, 6, 8), 60).alias("days"))
 
 
 @query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'ME' ELSE 'OTHER:' || role END AS speaker FROM conversations")

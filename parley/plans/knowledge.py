@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from parley.functions import dates, text
+from parley.functions.times import epoch
 from parley.operators import chunks, inference, joins, ranking, reports, retrieval, scoring, timeline
 from parley.plans.catalogue import query
 from parley.plans.messages import LABELS
@@ -194,10 +195,11 @@ def frame_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("f")).select("doc_id", scoring.frame_summary("f").alias("summary"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT user_id AS id, min(epoch_us(ts) // 1000000) AS start FROM events GROUP BY user_id), m(i, minute, speaker, modality, text_raw) AS (VALUES {', '.join(f"({i}, {sum(x[0] for x in datasets.ARC[: i + 1])}, '{s}', '{k}', '{t}')" for i, (_, s, k, t) in enumerate(datasets.ARC))})
+SELECT 'GEN:' || (id * {len(datasets.ARC)} + i) AS msg_uid, start + (id * 1440 + minute) * 60 AS ts, speaker, 1 AS type, modality, text_raw, id * {len(datasets.ARC)} + i AS seq FROM a CROSS JOIN m""")
 def generated_messages(spark, sf_dir):
-    """Generated messages of two hundred days."""
-    return datasets.generated(spark, 200)
+    """Messages by a template from each user's first event on."""
+    return datasets.generated(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.min(epoch("ts")).alias("start")))
 
 
 @query("""WITH g AS (SELECT conv_id, count(*) AS n, arg_max(role, turn) AS last_role, max(turn) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN n % 5 = 0 THEN 'crisis' WHEN last_role = 'assistant' THEN 'responded' ELSE 'in_progress' END AS status FROM g""")
@@ -273,11 +275,21 @@ def frame_deltas(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_shipdate", "n", F.coalesce("delta", F.lit(0.0)).alias("change"))
 
 
-@query()
+def _counter():
+    """A stand-in for a model: it counts letters and cannot read a text with an at sign."""
+
+    def model(texts: list[str]) -> list[str]:
+        if any("@" in t for t in texts):
+            raise ValueError("no addresses")
+        return [str(len(t)) for t in texts]
+
+    return model
+
+
+@query("SELECT doc_id, CASE WHEN contains(coalesce(text, ''), '@') THEN NULL ELSE length(coalesce(text, ''))::VARCHAR END AS output, CASE WHEN contains(coalesce(text, ''), '@') THEN 'ValueError: no addresses' END AS error FROM documents")
 def model_shell(spark, sf_dir):
-    """Batches through a model; here one that counts words."""
-    d = table(spark, sf_dir, "documents")
-    return inference.apply_model(d, "doc_id", "text", lambda: lambda texts: [str(len(t.split())) for t in texts])
+    """Batches through a caller's model; a batch that fails is halved until the texts that fail are known."""
+    return inference.apply_model(table(spark, sf_dir, "documents"), "doc_id", "text", _counter)
 
 
 @query("""SELECT 'a' AS k, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT 'b', count(*), count(DISTINCT user_id) FROM events WHERE ts >= TIMESTAMP '2024-01-10'""")

@@ -141,12 +141,12 @@ class Manifest:
 ARC = [(0, "ME", "text", "good morning"), (2, "OTHER", "text", "morning, how are you"), (1, "ME", "image", "photo of breakfast"), (30, "OTHER", "voice", "voice note"), (200, "ME", "text", "are you busy"), (1, "ME", "sticker", "waiting"), (45, "OTHER", "text", "sorry, long meeting")]
 
 
-def generated(spark: SparkSession, arcs: int, start: int = 1_700_000_000, arc_minutes: int = 1440) -> DataFrame:
-    """arcs repetitions of the template, a day apart; rows of any number are made by the tasks."""
+def generated(arcs: DataFrame, arc_minutes: int = 1440) -> DataFrame:
+    """The template once for each of `arcs` (id, start in seconds), `arc_minutes` later for each id; made by the tasks."""
     minutes = [sum(a[0] for a in ARC[: i + 1]) for i in range(len(ARC))]
     template = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("minute"), F.lit(s).alias("speaker"), F.lit(k).alias("modality"), F.lit(t).alias("text_raw")) for i, (m, (_, s, k, t)) in enumerate(zip(minutes, ARC))])
-    rows = spark.range(arcs).select("id", F.explode(template).alias("m")).select("id", "m.*")
-    return rows.select(F.concat(F.lit("GEN:"), F.col("id") * len(ARC) + F.col("i")).alias("msg_uid"), (F.lit(start) + (F.col("id") * arc_minutes + F.col("minute")) * 60).alias("ts"), "speaker", F.lit(1).alias("type"), "modality", "text_raw", (F.col("id") * len(ARC) + F.col("i")).alias("seq"))
+    rows = arcs.select("id", "start", F.explode(template).alias("m")).select("id", "start", "m.*")
+    return rows.select(F.concat(F.lit("GEN:"), F.col("id") * len(ARC) + F.col("i")).alias("msg_uid"), (F.col("start") + (F.col("id") * arc_minutes + F.col("minute")) * 60).alias("ts"), "speaker", F.lit(1).alias("type"), "modality", "text_raw", (F.col("id") * len(ARC) + F.col("i")).alias("seq"))
 
 
 class _Part(InputPartition):
