@@ -52,7 +52,7 @@ def _matches(text: Column, pattern: str, kind: Callable[[Column], Column]) -> Co
     size = lambda p: F.length(p["before"]) + F.coalesce(F.length(p["value"]), F.lit(0))
     span = lambda p: F.struct((p["end"] - F.length(p["value"])).cast("int").alias("start"), p["end"].cast("int").alias("end"), kind(p["value"]).alias("type"), p["value"].alias("value"))
     spans = lambda ps: F.transform(F.slice(F.arrays_zip(ps["value"].alias("value"), running_sums(F.transform(ps, size)).alias("end")), 1, F.size(ps) - 1), span)
-    return let(pairs, spans)
+    return F.when(text.rlike(pattern), let(pairs, spans)).otherwise(F.array().cast(SPAN))  # most texts have no match and are read once
 
 
 def find_spans(text: Column | str, patterns: dict[str, str], overlaps: str = "first") -> Column:
@@ -86,4 +86,5 @@ def replace_matches(text: Column | str, patterns: dict[str, str], replacements:
     t, pattern = col(text), alternation(patterns)
     put = F.create_map(*[F.lit(x) for kind in patterns for x in (kind, replacements.get(kind, f"[{kind}]"))])
     pairs = F.arrays_zip(F.split(t, pattern).alias("before"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("value"))
-    return F.array_join(F.transform(pairs, lambda p: F.concat(p["before"], F.coalesce(put[kind_of(p["value"], patterns)], F.lit("")))), "")
+    replaced = F.array_join(F.transform(pairs, lambda p: F.concat(p["before"], F.coalesce(put[kind_of(p["value"], patterns)], F.lit("")))), "")
+    return F.when(t.rlike(pattern), replaced).otherwise(t)

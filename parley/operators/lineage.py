@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
@@ -19,4 +20,7 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/parley-checkpoints")
-    return df.checkpoint()
+    held = df.persist(StorageLevel.DISK_ONLY)  # else it would be worked out twice, to be counted and to be written
+    out = held.checkpoint()
+    held.unpersist()
+    return out

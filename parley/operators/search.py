@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.operators import ranking
+from parley.operators.lineage import cut
 
 # Fused lists.
 
@@ -54,7 +55,7 @@ def fused_top(lists: list[DataFrame], id: str, k: int, constant: int = 60) -> Da
 
 @dataclass
 class Postings:
-    """An inverted index: `postings` (token, level, part, doc_id, w), `blocks` (token, level, n, top, parts), `docs` (doc_id, terms).
+    """An inverted index: `postings` (token, level, part, doc_id, w), `blocks` (token, level, n, top, parts), `docs` (doc_id, held, weights).
 
     A block has the postings of a token whose scores lie between two powers of two, `top` is its largest; a large one is
     dealt to parts by document.
@@ -67,30 +68,32 @@ class Postings:
 
 def keyword_index(docs: DataFrame, weight: Column | None = None, most: int = 100_000) -> Postings:
     """The index of docs (doc_id, tokens array). `weight` is an expression, above 0, over token, tf, the token's count in the
-    document, and df, the number of documents that hold it; without it a token counts 1."""
+    document, and df, the number of documents that hold it; without it a token counts 1. The index is written to the
+    checkpoint folder."""
     one = docs.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
     df = one.groupBy("token").agg(F.count("*").alias("df"))
-    scored = one.join(df, "token").withColumn("w", (F.lit(1.0) if weight is None else weight).cast("double")).withColumn("level", F.ceil(F.log2("w")).cast("int"))
-    blocks = scored.groupBy("token", "level").agg(F.count("*").alias("n"), F.max("w").alias("top")).withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    scored = cut(one.join(df, "token").withColumn("w", (F.lit(1.0) if weight is None else weight).cast("double")).withColumn("level", F.ceil(F.log2("w")).cast("int")))
+    blocks = cut(scored.groupBy("token", "level").agg(F.count("*").alias("n"), F.max("w").alias("top")).withColumn("parts", F.ceil(F.col("n") / most).cast("int")))
     postings = scored.join(blocks.select("token", "level", "parts"), ["token", "level"]).select("token", "level", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id", "w")
     terms = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("terms"))  # of one document
-    return Postings(postings, blocks, terms)
+    return Postings(postings, blocks, terms.select("doc_id", F.col("terms.token").alias("held"), F.col("terms.w").alias("weights")))
 
 
-def _documents(index: Postings, chosen: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of the documents of chosen blocks (query_id, token, level, parts)."""
+def _partial(index: Postings, chosen: DataFrame) -> DataFrame:
+    """(query_id, doc_id, partial): sums over the chosen blocks (query_id, token, level, parts) alone."""
     parts = chosen.select("query_id", "token", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return parts.join(index.postings, ["token", "level", "part"]).select("query_id", "doc_id").distinct()
+    return parts.join(index.postings, ["token", "level", "part"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("partial"))
 
 
 def keyword_top(index: Postings, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): for each of queries (query_id, tokens array) its k documents of the largest sums of
     the weights of shared tokens, ties by doc_id; documents that share none are left out.
 
-    The rarest tokens' best blocks give k documents, whose k-th full score is a bound. With the query's tokens by their
+    The rarest tokens' best blocks give k documents, whose least full score is a bound. With the query's tokens by their
     largest weight, a document whose last token stands at some place has at most the sum of the largest weights up to
-    there: only blocks whose sum reaches the bound are read, so a common token is not, unless it can decide. The scores of
-    the documents found are taken from their own terms.
+    there: only blocks whose sum reaches the bound are read, so a common token is not, unless it can decide. What a document
+    has in those blocks and the most that the others may add must reach the bound too, and the k-th of what documents have
+    there; only then its own terms are read for the full score.
     """
     q = queries.select("query_id", F.array_sort(F.array_distinct("tokens")).alias("wanted"))
     asked = q.select("query_id", F.explode("wanted").alias("token")).join(index.blocks, "token")
@@ -100,15 +103,21 @@ def keyword_top(index: Postings, queries: DataFrame, k: int) -> DataFrame:
     blocks = asked.join(before.select("query_id", "token", "before", "df"), ["query_id", "token"])
 
     def scores(pairs: DataFrame) -> DataFrame:
-        shared = F.filter("terms", lambda t: F.array_contains(F.col("wanted"), t["token"]))
-        return pairs.join(index.docs, "doc_id").join(q, "query_id").select("query_id", "doc_id", F.aggregate(shared, F.lit(0.0), lambda s, t: s + t["w"]).alias("score"))
+        both = pairs.select("query_id", "doc_id").join(index.docs, "doc_id").join(q, "query_id")
+        weights = F.transform(F.array_intersect("held", "wanted"), lambda t: F.get("weights", F.array_position("held", t).cast("int") - 1))
+        return both.select("query_id", "doc_id", F.aggregate(weights, F.lit(0.0), lambda s, x: s + x).alias("score"))
 
     rare = W.partitionBy("query_id").orderBy("df", "token", F.desc("level"))
     first = blocks.withColumn("sofar", F.coalesce(F.sum("n").over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("sofar") < k)
-    best = ranking.rank_in(scores(_documents(index, first)), ["query_id"], "score", "doc_id", k)
-    bound = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    able = blocks.join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("before") + F.col("top") >= F.col("bound") * (1 - 1e-9)))
-    return ranking.rank_in(scores(_documents(index, able)), ["query_id"], "score", "doc_id", k)
+    seeds = ranking.rank_in(_partial(index, first), ["query_id"], "partial", "doc_id", k)
+    bound = scores(seeds).groupBy("query_id").agg(F.min("score").alias("b"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", (F.col("b") * (1 - 1e-9)).alias("bound"))
+    told = cut(blocks.join(bound, "query_id", "left").withColumn("able", F.col("bound").isNull() | (F.col("before") + F.col("top") >= F.col("bound"))))
+    left_out = told.where(~F.col("able")).groupBy("query_id", "token").agg(F.max("top").alias("most")).groupBy("query_id").agg(F.sum("most").alias("rest"))
+    bound = told.select("query_id", "bound").distinct()
+    found = _partial(index, told.where("able")).join(bound, "query_id", "left").join(left_out, "query_id", "left")
+    kth = ranking.rank_in(found.select("query_id", "doc_id", "partial"), ["query_id"], "partial", "doc_id", k).where(F.col("rank") == k).select("query_id", (F.col("partial") * (1 - 1e-9)).alias("least"))
+    may = found.join(kth, "query_id", "left").where(F.col("partial") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce(F.greatest("bound", "least"), F.lit(0.0)))
+    return ranking.rank_in(scores(may), ["query_id"], "score", "doc_id", k)
 
 
 # Near pairs.
