@@ -66,8 +66,11 @@ def find_spans(text: Column | str, patterns: dict[str, str], overlaps: str = "fi
     t = F.coalesce(col(text), F.lit(""))
     if overlaps == "first":
         return _matches(t, alternation(patterns), lambda v: kind_of(v, patterns)).cast(SPAN)
-    order = {kind: i for i, kind in enumerate(patterns)}
-    every = F.concat(*[F.transform(_matches(t, p, lambda v, kind=kind: F.lit(kind)), lambda s, i=order[kind]: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("order"), s["type"].alias("type"), s["value"].alias("value"))) for kind, p in patterns.items()])
+
+    def of(order: int, kind: str, pattern: str) -> Column:
+        return F.transform(_matches(t, pattern, lambda v: F.lit(kind)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(order).alias("order"), s["type"].alias("type"), s["value"].alias("value")))
+
+    every = F.concat(*[of(i, kind, pattern) for i, (kind, pattern) in enumerate(patterns.items())])
     once = let(F.sort_array(every), lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["start"] != x["start"]) | (F.get(xs, i - 1)["end"] != x["end"])))
     if overlaps == "longest":
         once = longest(once)

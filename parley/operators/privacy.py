@@ -104,7 +104,11 @@ def level2(df: DataFrame, base: str, ts: str = "ts", shift_days: int = 100) -> D
 def scan_report(df: DataFrame, key: str, text: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """(type, matches, distinct values, messages) over the corpus."""
     t = F.coalesce(text, F.lit(""))
-    values = [F.transform(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)), lambda v, kind=kind: F.struct(F.lit(kind).alias("type"), v.alias("value"))) for kind, p in patterns.items()]
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+
+    values = [of(kind, pattern) for kind, pattern in patterns.items()]
     found = df.select(key, F.explode(F.concat(*values)).alias("s")).select(key, "s.*")
     return found.groupBy("type").agg(F.count("*").alias("matches"), F.count_distinct("value").alias("values"), F.count_distinct(key).alias("messages"))
 

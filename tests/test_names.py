@@ -45,6 +45,12 @@ def test_spans_have_their_places(spark, overlaps):
     assert got == {i: plain_spans(t, overlaps) for i, t in enumerate(rows)}
 
 
+def test_of_equal_places_the_first_kind_counts(spark):
+    both = {"WORD": "[a-z]+", "AB": "ab", "ANY": "[a-z0-9]+"}
+    got = spark.createDataFrame([("x1 cd ab",)], "t string").select(spans.find_spans("t", both, "all").alias("s")).first().s
+    assert [tuple(s) for s in got] == [(0, 1, "WORD", "x"), (0, 2, "ANY", "x1"), (3, 5, "WORD", "cd"), (6, 8, "WORD", "ab")]
+
+
 def test_replacing_reads_once(spark):
     rows = texts(2)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
