@@ -186,6 +186,47 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(sizes.groupBy("n", "h1", "h2", "h3").agg(F.min("region").alias("region")).select("region"), "region")
 
 
+def _repeated_task(batches):
+    """Rows of sorted regions whose region has another row; only the last row is held from batch to batch."""
+    names, held = ["region", "id"], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        region, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held is not None:
+            region, ids = np.concatenate([held[0], region]), np.concatenate([held[1], ids])
+        same = region[1:] == region[:-1]
+        again = np.zeros(len(region), dtype=bool)
+        again[1:] = same
+        again[:-1] |= same
+        if held is not None:
+            again[0] |= held[2]
+        # the last row waits for the next batch, with whether it is known to be one of several
+        yield pa.RecordBatch.from_arrays([pa.array(region[:-1][again[:-1]]), pa.array(ids[:-1][again[:-1]])], names=names)
+        held = (region[-1:].copy(), ids[-1:].copy(), bool(again[-1]))
+    if held is not None and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=names)
+
+
+def repeated(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of `members` (region, id; ids once per region) whose region has two or more ids, written.
+
+    A sample tells regions of more than about BLOCK ids; their rows stay where they are, only the rest is dealt by region.
+    """
+    large = scratch.write(_sampled(members).select("region"), "large")
+    split = not large.isEmpty()
+    rest = members.join(F.broadcast(large), "region", "left_anti") if split else members  # a row for BLOCK ids at least
+    several = rest.select("region", "id").repartition("region").sortWithinPartitions("region").mapInArrow(_repeated_task, "region long, id long")
+    out = scratch.write(several.union(members.join(F.broadcast(large), "region").select("region", "id")) if split else several, "several")
+    scratch.drop(large)
+    return out
+
+
+def _sampled(seen: DataFrame) -> DataFrame:
+    """(region, n): regions of more than about BLOCK ids, with their ids in the sample."""
+    return seen.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLE)) == 0).groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > BLOCK)
+
+
 def _block(blocks):
     return F.xxhash64("region", F.pmod(F.xxhash64("id"), blocks))
 
@@ -218,8 +259,7 @@ def link(members: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame]
     of y (or to the only one) from below and is a metric itself.
     """
     seen = members.select("region", "id", "sig") if "sig" in members.columns else _shared(members).join(signatures, "id").select("region", "id", "sig")
-    sample = seen.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLE)) == 0).groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > BLOCK)
-    large = scratch.write(sample.select("region", F.ceil(F.col("n") * SAMPLE / BLOCK).alias("blocks")), "large")
+    large = scratch.write(_sampled(seen).select("region", F.ceil(F.col("n") * SAMPLE / BLOCK).alias("blocks")), "large")
     split = not large.isEmpty()
     dealt = _dealt(seen, large) if split else seen
     stars = scratch.write(dealt.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_star_task(lower, width, radius), "region long, a long, b long, crossing boolean"), "stars")
