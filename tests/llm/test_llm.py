@@ -799,3 +799,46 @@ def test_pipeline_stages_take_odd_rows(spark, sf, rows, empty):
         assert got and all(r[c] == f"own {c}" for r in got for c in clash)
         assert stage(spark, empty, sf).count() == 0
         assert {r.doc_id for r in got} <= {r[0] for r in rows} and (None in {r.doc_id for r in got})
+
+
+def test_rows_of_regions_with_others(spark, monkeypatch):
+    """Every batch size, hot regions and single ids, against counting."""
+    rng = np.random.default_rng(3)
+    region = np.sort(np.concatenate([rng.integers(0, 300, 300), np.full(70, 57)]))
+    table = pa.table({"region": region, "id": np.arange(len(region))})
+    n = Counter(region.tolist())
+    expected = [(r, i) for r, i in zip(region.tolist(), range(len(region))) if n[r] > 1]
+    for size in (1, 2, 7, 64, 1000):
+        out = pa.Table.from_batches(voronoi._repeated_task(iter([pa.RecordBatch.from_pydict({"region": [], "id": []}, schema=table.schema), *table.to_batches(max_chunksize=size)])))
+        assert list(zip(*(c.to_pylist() for c in out.columns))) == expected
+    assert list(voronoi._repeated_task(iter([]))) == []
+    monkeypatch.setattr(voronoi, "SAMPLE", 1)
+    monkeypatch.setattr(voronoi, "BLOCK", 50)  # the hot region stays where it is
+    scratch = Scratch(spark, "test")
+    got = voronoi.repeated(spark.createDataFrame(table.to_pandas()), scratch)
+    assert sorted(map(tuple, got.collect())) == expected
+    scratch.close()
+
+
+def test_normalised_lines_in_both_forms(spark):
+    lines = ["", "A b", "É ÀB-c", "𝔘nd 😀x, y", "İstanbul ß\x7f\x80z", "\t a b \x1f", "__a__B__", "Σς 9-8", "\U0010ffffe"]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string").select("t", line_dedup.normalised_column(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [line_dedup.normalised(r.t.encode()).decode() for r in rows]
+
+
+def test_remembered_words_have_a_bound(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 3)
+
+    class Twice(bpe._Memory):
+        worked = 0
+
+        def work_out(self, key):
+            self.worked += 1
+            return 2 * key
+
+    memory = Twice()
+    keys = [*"abcdeab", "x" * 8 * bpe.LONG, "y" * (8 * bpe.LONG + 1), "d", "e", *"fghabc"]
+    assert [memory[k] for k in keys] == [2 * k for k in keys]
+    assert len(memory) <= 3 and len(memory.older) <= 3 and "y" * (8 * bpe.LONG + 1) not in memory
+    before = memory.worked
+    assert memory["c"] == "cc" and memory.worked == before
