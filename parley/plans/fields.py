@@ -569,10 +569,10 @@ def csv_read_back(spark, sf_dir):
 
 @query(f"WITH {TURNS} SELECT ts // 60 * 60 AS ts, speaker, text_raw, 'text' AS modality FROM turns WHERE text_raw <> ''")
 def chat_read_back(spark, sf_dir):
-    """Messages written as a chat export and read again."""
+    """Messages written as a chat export, with years of four digits, and read again."""
     path = shared_folder(spark, "chat")
     t = turns(spark, sf_dir).where("text_raw <> ''")
-    t.select(F.concat(F.date_format(F.timestamp_seconds("ts"), "M/d/yy, h:mm a"), F.lit(" - "), "speaker", F.lit(": "), "text_raw").alias("value")).write.text(path)
+    t.select(F.concat(F.date_format(F.timestamp_seconds("ts"), "M/d/yyyy, h:mm a"), F.lit(" - "), "speaker", F.lit(": "), "text_raw").alias("value")).write.text(path)
     return files.chat_text(spark, path, {"ME": "ME", "OTHER": "OTHER", "SYSTEM": "SYSTEM"}).select("ts", "speaker", "text_raw", "modality")
 
 

@@ -55,3 +55,7 @@ def test_an_index_is_searched_in_groups(spark, tmp_path, monkeypatch):
         s = np.array([(x[q] * r).sum() / np.sqrt((x[q] * x[q]).sum() * (r * r).sum()) for r in x])
         best = np.lexsort((np.arange(900), -np.round(s, 12)))[:5]
         assert [got[q, i + 1][0] for i in range(5)] == best.tolist() and np.allclose([got[q, i + 1][1] for i in range(5)], s[best])
+
+
+def test_chat_years_beyond_two_digits(spark, shifted):
+    same_as_sql(spark, shifted(lambda c: c + 40_000), "chat_read_back")
