@@ -84,10 +84,11 @@ def unicode_clean(spark, sf_dir):
 SELECT d.doc_id, coalesce(g.l >= 10 AND g.n >= 4 AND g.m / g.n > 0.5, false) AS repetitive FROM documents d LEFT JOIN g USING (doc_id)""")
 def repetitive_text(spark, sf_dir):
     """Texts of which one word is more than half."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.length(F.trim("text")).alias("l"), F.explode(F.split("text", "\\s+")).alias("w")).where("w <> ''")
-    g = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.first("l").alias("l")).groupBy("doc_id").agg(F.max("n").alias("m"), F.sum("n").alias("n"), F.first("l").alias("l"))
-    share = (F.col("l") >= 10) & (F.col("n") >= 4) & (F.col("m") / F.col("n") > 0.5)
-    return table(spark, sf_dir, "documents").select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce(share, F.lit(False)).alias("repetitive"))
+    # a word that is more than half of all stands in the middle of the sorted words: nothing is shuffled
+    words = F.sort_array(F.filter(F.split("text", "\\s+"), lambda w: w != ""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length(F.trim("text")).alias("l"), F.array(words).alias("once"))
+    most = F.transform("once", lambda w: F.when((F.size(w) >= 4) & F.col("doc_id").isNotNull(), F.size(F.filter(w, lambda x: x == F.get(w, (F.size(w) / 2).cast("int")))) / F.size(w)))[0]
+    return rows.select("doc_id", F.coalesce((F.col("l") >= 10) & (most > 0.5), F.lit(False)).alias("repetitive"))
 
 
 @query("SELECT doc_id, floor(length(text) / 4)::BIGINT AS tokens FROM documents")

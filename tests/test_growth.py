@@ -59,3 +59,8 @@ def test_an_index_is_searched_in_groups(spark, tmp_path, monkeypatch):
 
 def test_chat_years_beyond_two_digits(spark, shifted):
     same_as_sql(spark, shifted(lambda c: c + 40_000), "chat_read_back")
+
+
+def test_repetitive_texts_are_not_shuffled(spark, sf, capsys):
+    __spark_entry__.queries()["repetitive_text"](spark, sf).explain()
+    assert "Exchange" not in capsys.readouterr().out
