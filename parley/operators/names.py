@@ -10,17 +10,23 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from parley.operators import numbering, privacy
 
-HITS = "array<struct<start:int,end:int,name:string,code:string>>"
+HITS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("name", StringType()), StructField("code", StringType())]))
+_HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("code", pa.string())]))
 Hit = tuple[int, int, str, str | None]
 #: Characters of names of which an automaton is built and broadcast (some 50 bytes each).
 MOST_CHARS = 4_000_000
+#: Bytes and rows of texts whose hits a task holds at once.
+PIECE, PIECE_ROWS = 1 << 20, 1000
 REAL, UNCERTAIN = "real_name", "uncertain"
 
 
@@ -154,6 +160,27 @@ class Dictionary:
         return False
 
 
+def _by_piece(df: DataFrame, text: str, schema: StructType, columns: Callable[[dict[str, pa.Array]], dict[str, pa.Array]]) -> DataFrame:
+    """df with the new or changed `columns` worked out for some PIECE bytes of texts at a time, as hits take many times the
+    room of their texts; rows come in schema's order of columns."""
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sofar = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = int(np.searchsorted(sofar, (sofar[lo - 1] if lo else 0) + PIECE, "right"))
+                hi = min(max(hi, lo + 1), lo + PIECE_ROWS)
+                part = batch.slice(lo, hi - lo)
+                have = dict(zip(part.schema.names, part.columns))
+                have |= columns(have)
+                yield pa.RecordBatch.from_arrays([have[c] for c in names], names=names)
+                lo = hi
+
+    return df.mapInArrow(run, schema)
+
+
 def _rows(hits: list[Hit]) -> list[dict]:
     return [dict(zip(("start", "end", "name", "code"), h)) for h in hits]
 
@@ -174,13 +201,12 @@ def name_hits(df: DataFrame, key: str, text: str, names: DataFrame, out: str = "
         return _hits_by_join(df, key, text, words, out, list(exclude), around, borders, ignore_case)
     shared = df.sparkSession.sparkContext.broadcast(Dictionary(sorted((r.text, r.code) for r in words.collect()), list(exclude), around, borders, ignore_case))
 
-    @F.pandas_udf(HITS)
-    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        dictionary = shared.value
-        for texts in parts:
-            yield pd.Series([_rows(dictionary.hits(t)) for t in texts], dtype=object)
+    df = df.drop(out)
+
+    def find(have: dict[str, pa.Array]) -> dict[str, pa.Array]:
+        return {out: pa.array([_rows(shared.value.hits(t)) for t in have[text].to_pylist()], _HITS)}
 
-    return df.withColumn(out, find(F.col(text)))
+    return _by_piece(df, text, StructType([*df.schema, StructField(out, HITS)]), find)
 
 
 def _hits_by_join(df: DataFrame, key: str, text: str, words: DataFrame, out: str, exclude: list[str], around: int, borders: bool, ignore_case: bool) -> DataFrame:
@@ -195,33 +221,32 @@ def _hits_by_join(df: DataFrame, key: str, text: str, words: DataFrame, out: str
     found = pieces.join(sized, ["__piece", "__size"]).groupBy("__key").agg(F.collect_list(hit).alias("__hits"))  # of one text
     shared = df.sparkSession.sparkContext.broadcast(Dictionary([], exclude, around, borders, ignore_case))
 
-    @F.pandas_udf(HITS)
-    def resolve(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([_rows(shared.value.hits(t, [(h["start"], h["end"], h["name"], h["code"]) for h in hs])) if hs is not None else [] for t, hs in zip(texts, lists)], dtype=object)
+    df = df.drop(out)
 
-    return df.join(found, df[key] == F.col("__key"), "left").withColumn(out, resolve(F.col(text), F.col("__hits"))).drop("__key", "__hits")
+    def resolve(have: dict[str, pa.Array]) -> dict[str, pa.Array]:
+        found = [[(h["start"], h["end"], h["name"], h["code"]) for h in hs or []] for hs in have["__hits"].to_pylist()]
+        return {out: pa.array([_rows(shared.value.hits(t, hs)) if hs else [] for t, hs in zip(have[text].to_pylist(), found)], _HITS)}
 
+    return _by_piece(df.join(found, df[key] == F.col("__key"), "left").drop("__key"), text, StructType([*df.schema, StructField(out, HITS)]), resolve)
 
-def replace_hits(text: str, hits: str) -> Column:
-    """The text with every hit replaced by its code in brackets; places are those of the text given."""
-
-    @F.pandas_udf("string")
-    def put(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for t, hs in zip(texts, lists):
-            if t is not None and hs is not None and len(hs):
-                parts, at = [], 0
-                for h in hs:
-                    parts += [t[at : h["start"]], f"[{h['code']}]"]
-                    at = h["end"]
-                t = "".join(parts) + t[at:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
 
-    return put(F.col(text), F.col(hits))
+def _put(text: str | None, hits: list[dict] | None) -> str | None:
+    """The text with every hit replaced by its code in brackets; places are those of the text given."""
+    parts, at = [], 0
+    for h in hits or []:
+        parts += [text[at : h["start"]], f"[{h['code']}]"]
+        at = h["end"]
+    return "".join(parts) + text[at:] if parts else text
 
 
 def replace_names(df: DataFrame, key: str, text: str, coded: DataFrame, **options) -> DataFrame:
     """Phase two: df with the names of its texts replaced by [code], and `replaced`, their number; options of `name_hits`."""
     found = name_hits(df, key, text, coded, "__hits", **options)
-    return found.withColumn(text, replace_hits(text, "__hits")).withColumn("replaced", F.size("__hits")).drop("__hits")
+    found = found.drop("replaced")
+    fields = [StructField(text, StringType()) if f.name == text else f for f in found.schema if f.name != "__hits"]
+
+    def put(have: dict[str, pa.Array]) -> dict[str, pa.Array]:
+        lists = have["__hits"].to_pylist()
+        return {text: pa.array(map(_put, have[text].to_pylist(), lists), pa.string()), "replaced": pa.array([len(hs) for hs in lists], pa.int32())}
+
+    return _by_piece(found, text, StructType([*fields, StructField("replaced", IntegerType())]), put)

@@ -6,11 +6,13 @@ import shutil
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 import __spark_entry__
-from parley.operators import search
+from parley.operators import names, search
 
 
 @pytest.fixture
@@ -85,6 +87,14 @@ def test_documents_are_scored_where_they_are(spark, weighted, capsys):
     assert "Generate" not in capsys.readouterr().out  # no row for each token of a document
 
 
+def test_hits_are_held_for_a_piece_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(names, "PIECE", 3000)
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)] + [(50, None), (51, "y" * 9000)], "i int, t string").coalesce(1)
+    size = lambda have: {"n": pa.array([len(have["t"])] * len(have["t"]), pa.int32())}
+    out = names._by_piece(df, "t", StructType([*df.schema, StructField("n", IntegerType())]), size).collect()
+    assert [(r.i, len(r.t or "")) for r in out] == [(i, 1000) for i in range(50)] + [(50, 0), (51, 9000)] and max(r.n for r in out) == 3
+
+
 def test_near_pairs_are_read_by_and_by(spark, monkeypatch, capsys):
     monkeypatch.setattr(search, "DEALT", 7)
     monkeypatch.setattr(search, "HELD", 50)
