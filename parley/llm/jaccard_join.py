@@ -142,7 +142,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = spark.sparkContext.broadcast(common_table(docs, n, sample_docs))
-    features = scratch.write(docs.mapInArrow(_feature_task(n, percent, common), "doc_id long, size long, k1 long, k2 long, sig binary, anchors array<long>"), "features")
+    features = scratch.write(docs.mapInArrow(_feature_task(n, percent, common), "doc_id long, size long, k1 long, k2 long, sig binary, anchors array<long>"), "features", 1000)
     key = ["k1", "k2", "size"]
     full = features.where("size > 0 and doc_id is not null")
     classes = scratch.write(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
